@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import pieces, tokencount
+from . import fingerprint, pieces, quality, sharding, tokencount, toxicity
 
 _MODULES = {
+    "op4_toxicity": toxicity,
     "op5_sentencepiece": pieces,
+    "op6_fingerprints": fingerprint,
+    "op7_sharding": sharding,
     "op8_token_counts": tokencount,
+    "op9_quality": quality,
 }
 
 
