@@ -14,6 +14,7 @@ from __future__ import annotations
 from operator import eq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,18 +145,10 @@ def accept(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float =
     w, bias = model
     w = np.asarray(w, np.float64)
 
-    def run(batches):
-        for b in batches:
-            for part in slices([b], "text"):
-                x = np.stack([features(t or "") for t in part.column("text").to_pylist()])
-                s = 1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30)))
-                yield part.filter(s >= threshold)
-
     def keep(batches):
-        import pyarrow as pa
-
-        for part in run(batches):
-            yield part.filter(pa.array([True] * part.num_rows))
+        for part in slices(batches, "text"):
+            x = np.stack([features(t or "") for t in part.column("text").to_pylist()])
+            yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30))) >= threshold))
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import fingerprint, pieces, quality, sharding, tokencount, toxicity
+from . import contamination, fingerprint, neardup, phrases, pieces, quality, runindex, sharding, tokencount, toxicity
 
 _MODULES = {
+    "op1_simhash": neardup,
+    "op2_suffix_dedup": runindex,
+    "op3_decontamination": contamination,
     "op4_toxicity": toxicity,
     "op5_sentencepiece": pieces,
     "op6_fingerprints": fingerprint,
     "op7_sharding": sharding,
     "op8_token_counts": tokencount,
     "op9_quality": quality,
+    "op10_phrase_dedup": phrases,
 }
 
 
