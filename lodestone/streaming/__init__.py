@@ -1,0 +1 @@
+"""The engine's operators take streaming DataFrames where Structured Streaming allows their plan; it has no operators of its own for streams."""
