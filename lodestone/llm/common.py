@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -67,7 +68,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
                 yield batch
             continue
         at, held = 0, 0
-        for i, n in enumerate(pa.compute.binary_length(text).to_pylist()):
+        for i, n in enumerate(pc.binary_length(text).to_pylist()):
             n = n or 0
             if held and held + n > limit:
                 yield batch.slice(at, i - at)
