@@ -391,10 +391,10 @@ def sort_lineitem_3key(spark, d):
 # -- expressions -------------------------------------------------------------------------------------------------------
 
 
-@_query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS charge, CAST(l_linenumber * 2 - 1 AS BIGINT) AS odd FROM lineitem")
+@_query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charge, CAST(l_linenumber * 2 - 1 AS BIGINT) AS odd FROM lineitem")
 def expr_arith(spark, d):
     rows = _dialect(spark, d, "SELECT l_orderkey AS l_orderkey, l_linenumber AS l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, l_linenumber * 2 - 1 AS odd FROM lineitem")
-    return rows.withColumns({"charge": F.round("charge", 4), "odd": F.col("odd").cast("bigint")})
+    return rows.withColumns({"charge": F.round("charge", 6), "odd": F.col("odd").cast("bigint")})
 
 
 @_query("SELECT n_nationkey, CAST(n_nationkey + 3 AS BIGINT) AS moved, CAST(10 AS BIGINT) AS ten FROM nation WHERE n_nationkey < 14")
