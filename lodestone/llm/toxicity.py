@@ -27,13 +27,13 @@ from .quality import held_out
 
 ORDER = 3
 DECAY = 0.8
-#: Landmarks drawn from words that mark toxic rows, and from common words of other rows.
-MARKED, PLAIN = 24, 4
-CANDIDATES = 600
-#: Landmarks are words of so many characters.
+#: Landmarks drawn from beginnings of words that mark toxic rows, and from common ones of other rows.
+MARKED, PLAIN = 40, 4
+CANDIDATES = 1500
+#: Landmarks are words and beginnings of words, of so many characters.
 SHORTEST, LONGEST = 4, 12
 #: No two landmarks are this alike.
-ALIKE = 0.45
+ALIKE = 0.8
 #: At most so many rows of either label are trained on.
 SAMPLE = 2000
 HELD_OUT_OF, HELD_OUT = 3, 1
@@ -244,14 +244,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def split(batches):
         for b in slices(batches, "text"):
-            yield {"toxic": b.column("toxic"), "words": [[w for w in words_of(t or "") if SHORTEST <= len(w) <= LONGEST] for t in b.column("text").to_pylist()]}
+            yield {"toxic": b.column("toxic"), "words": [list({w[:k] for w in words_of(t or "") for k in range(SHORTEST, min(len(w), LONGEST) + 1)}) for t in b.column("text").to_pylist()]}
 
     said = map_arrow(rows.select("text", "toxic"), split, "toxic int, words array<string>")
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
     seen = said.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
     share_p, share_n = (F.col("p") + 0.5) / pos, (F.col("n") + 0.5) / neg
-    marked = [r.word for r in seen.filter((F.col("p") >= 2) & (share_p > share_n)).orderBy((share_p * F.log(share_p / share_n)).desc(), "word").limit(CANDIDATES).collect()]
+    marked = [r.word for r in seen.filter((F.col("p") >= 2) & (share_p > share_n)).orderBy((share_p * F.log(share_p / share_n)).desc(), F.length("word").desc(), "word").limit(CANDIDATES).collect()]
     plain = [r.word for r in seen.filter(share_p <= share_n * 1.2).orderBy(F.col("n").desc(), "word").limit(CANDIDATES).collect()]
     landmarks = pick(plain, PLAIN, pick(marked, MARKED, []))
 
