@@ -341,7 +341,7 @@ def _placed(rows: DataFrame, columns: list[str], ascending: list[bool]) -> DataF
     dealt = rows.repartitionByRange(*cols)
     marked = dealt.withColumn("_part", F.spark_partition_id()).sortWithinPartitions(*cols).withColumn("_id", F.monotonically_increasing_id())
     marked = marked.withColumn("_within", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
-    stage = f"{_scratch(rows.sparkSession)}/placed-{uuid.uuid4().hex}"
+    stage = _scratch(rows.sparkSession, "placed")
     marked.drop("_id").write.parquet(stage)
     marked = rows.sparkSession.read.parquet(stage)
     counts = marked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -349,14 +349,20 @@ def _placed(rows: DataFrame, columns: list[str], ascending: list[bool]) -> DataF
     return marked.join(before, "_part").withColumn("place", (F.col("_before") + F.col("_within")).cast("bigint")).drop("_part", "_n", "_before", "_within")
 
 
-def _scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where none is set and all runs on this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="lodestone-")
+def _scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder within the shared one of spark.checkpoint.dir, gone when the session ends.
+
+    A temporary folder serves only where none is set and all runs on this machine.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.gettempdir()
+    folder = f"{base.rstrip('/')}/lodestone-{tag}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 @_query("SELECT c_custkey, c_nationkey, c_acctbal, CAST(row_number() OVER (ORDER BY c_nationkey DESC, c_acctbal ASC, c_custkey ASC) AS BIGINT) AS place FROM customer")
@@ -474,7 +480,7 @@ def bulk_tagged_input(spark, d):
 
 
 def _store(spark, d: str, table: str) -> Store:
-    store = Store(spark, f"{_scratch(spark)}/store-{uuid.uuid4().hex}")
+    store = Store(spark, _scratch(spark, "store"))
     rows = read(spark, d, table)
     store.create(table, rows.schema)
     store.insert(table, rows)
