@@ -24,16 +24,19 @@ GRAM = 32
 #: Bytes of text in a shard, and in one transform.
 SHARD_BYTES = 8 << 20
 INDEX_BYTES = 900_000
-#: Anchors with more different segments are dealt by single windows: two copies of so many fit in one transform.
+#: Anchors with more different segments are dealt by single windows: so many fit in one transform.
 HOT = 2000
 _BITS = 20
 
 
 class RunIndex:
-    """The run-length transform of some byte strings; matches never cross their ends."""
+    """The run-length transform of some byte strings; matches never cross their ends.
 
-    def __init__(self, pieces: list[bytes]):
-        self.pieces = pieces
+    A string that occurs several times stands once with its count: its copies' suffixes would only lengthen runs.
+    """
+
+    def __init__(self, pieces: list[bytes], times: list[int] | None = None):
+        self.pieces, self.times = pieces, times or [1] * len(pieces)
         lengths = np.array([len(p) + 1 for p in pieces], np.int64)
         ends = np.cumsum(lengths)
         self.start = ends - lengths
@@ -116,9 +119,10 @@ class RunIndex:
         inside = np.r_[False, np.cumsum(change[:n]) > 0, False]
         begin, end = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
         owner = np.searchsorted(self.start, begin, "right") - 1
-        out: list[list[int]] = [[] for _ in self.pieces]
+        out: list[list[int]] = [[0, len(p)] if n > 1 and len(p) >= least else [] for p, n in zip(self.pieces, self.times)]
         for p, b, e in zip(owner.tolist(), begin.tolist(), end.tolist()):
-            out[p] += [b - int(self.start[p]), e - int(self.start[p])]
+            if self.times[p] == 1:
+                out[p] += [b - int(self.start[p]), e - int(self.start[p])]
         return out
 
 
@@ -154,12 +158,11 @@ def _by_index(pieces: DataFrame, shards: int, window: int) -> DataFrame:
         ordered = sorted(rows.values(), key=lambda r: r[:2])
         for i, r in enumerate(ordered):
             todo.append(r)
-            size += (len(r[3]) + 1) * min(2, r[2])
+            size += len(r[3]) + 1
             following = ordered[i + 1] if i + 1 < len(ordered) else None
-            if following is None or following[0] != r[0] and size + 2 * len(following[3]) > INDEX_BYTES:
-                # a piece that occurs again stands twice; what it shares with itself is then found like any other match
-                spans = RunIndex([r[3] for r in todo] + [r[3] for r in todo if r[2] > 1]).covered(window)
-                yield {"anchor": [r[0] for r in todo], "units": [r[1] for r in todo], "spans": spans[: len(todo)]}
+            if following is None or following[0] != r[0] and size + len(following[3]) > INDEX_BYTES:
+                spans = RunIndex([r[3] for r in todo], [r[2] for r in todo]).covered(window)
+                yield {"anchor": [r[0] for r in todo], "units": [r[1] for r in todo], "spans": spans}
                 todo, size = [], 0
 
     return map_arrow(pieces.repartition(shards, "anchor"), run, "anchor bigint, units bigint, spans array<int>")
