@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stage, map_arrow, slices
@@ -146,16 +146,18 @@ def segments(rows: DataFrame, units: Callable[[np.ndarray, np.ndarray], tuple[np
 
 
 def candidates(stage: Stage, found: DataFrame) -> DataFrame:
-    """Segments whose anchor occurs again."""
-    again = found.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).filter("times > 1").drop("times")
-    return stage.save(again, "candidates")
+    """Segments whose anchor occurs again. Anchors are counted before the shuffle; being a table of its own, the counts meet a frequent anchor's rows in a join that can be split."""
+    often = stage.save(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor"), "often")
+    return stage.save(found.join(often, "anchor", "left_semi").select(found.columns), "candidates")
 
 
 def representatives(stage: Stage, cand: DataFrame, hot: int = HOT) -> DataFrame:
-    """One row for equal segments: the first of them in order (doc_id, key, start), their number, and whether their anchor is hot."""
+    """One row for equal segments: the first of them in order (doc_id, key, start), their number, whether it is its anchor's only one (alone) or one of too many (hot)."""
     one = cand.groupBy("anchor", "units").agg(F.min(F.struct("doc_id", "key", "start")).alias("first"), F.min("size").alias("size"), F.count(F.lit(1)).alias("times"))
-    per = one.withColumn("hot", F.count(F.lit(1)).over(Window.partitionBy("anchor")) > hot)
-    return stage.save(per.select("anchor", "units", F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"), F.col("first.start").alias("start"), "size", "times", "hot"), "representatives")
+    one = stage.save(one.select("anchor", "units", "first.doc_id", "first.key", "first.start", "size", "times"), "distinct")
+    kinds = one.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    per = one.join(kinds, "anchor").select(*one.columns, (F.col("kinds") == 1).alias("alone"), (F.col("kinds") > hot).alias("hot"))
+    return stage.save(per, "representatives")
 
 
 def same_row(a: DataFrame, b: DataFrame) -> Column:

@@ -8,9 +8,6 @@ removed. Words are single characters to the automaton, so phrases match whole wo
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +29,11 @@ def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return passages.span_hash(passages.prefix_hash(passages.BYTE_VALUES[data]), start, end), rows
 
 
-def repeats(pieces: list[tuple[tuple, int, list[bytes]]], window: int = WINDOW) -> list[int]:
-    """For each piece (its place, how often it occurs, its words) a mask of the windows that also start earlier.
+def repeats(pieces: list[tuple[tuple, int, bool, list[bytes]]], window: int = WINDOW) -> list[int]:
+    """For each piece (its place, how often it occurs, whether it shares windows with itself only, its words) a mask of the windows that also start earlier.
 
-    A place is an ordered tuple whose last member counts words; places of a piece's windows follow each other. Further
-    occurrences of a piece come after the given place.
+    A place is an ordered tuple whose last member counts words. Further occurrences of a piece come after the given
+    place. The recurring passage of a piece alone is the whole piece, that of others each window that occurs again.
     """
     import ahocorasick
 
@@ -48,30 +45,31 @@ def repeats(pieces: list[tuple[tuple, int, list[bytes]]], window: int = WINDOW)
             letters[word] = chr(n if n < 0xD800 else n + 0x800)
         return letters[word]
 
-    said = ["".join(map(letter, words)) for _, _, words in pieces]
-    times: Counter[str] = Counter()
-    for s, (_, n, _) in zip(said, pieces):
-        for i in range(len(s) - window + 1):
-            times[s[i : i + window]] += n
-    phrases = [w for w, n in times.items() if n > 1]
+    said = ["".join(map(letter, words)) for *_, words in pieces]
+    times: dict[str, int] = {}
+    for s, (_, n, alone, _) in zip(said, pieces):
+        for p in (s,) if alone else [s[i : i + window] for i in range(len(s) - window + 1)]:
+            times[p] = times.get(p, 0) + n
+    phrases = [p for p, n in times.items() if n > 1]
     masks = [0] * len(pieces)
     if not phrases:
         return masks
     automaton = ahocorasick.Automaton()
-    for i, w in enumerate(phrases):
-        automaton.add_word(w, i)
+    for i, p in enumerate(phrases):
+        automaton.add_word(p, i)
     automaton.make_automaton()
-    first: list[tuple | None] = [None] * len(phrases)
-    found = []
-    for piece, (s, (place, _, _)) in enumerate(zip(said, pieces)):
+    found: list[list[tuple[int, int]]] = [[] for _ in phrases]
+    for piece, s in enumerate(said):
         for end, phrase in automaton.iter(s):
-            at = (*place[:-1], place[-1] + end - window + 1)
-            found.append((piece, end - window + 1, phrase, at))
-            if first[phrase] is None or at < first[phrase]:
-                first[phrase] = at
-    for piece, offset, phrase, at in found:
-        if first[phrase] < at:
-            masks[piece] |= 1 << offset
+            found[phrase].append((piece, end))
+    for p, where in zip(phrases, found):
+        if len(where) > 1:
+            size = len(p)
+            at = [(*pieces[piece][0][:-1], pieces[piece][0][-1] + end - size + 1) for piece, end in where]
+            first = min(at)
+            for (piece, end), place in zip(where, at):
+                if first < place:
+                    masks[piece] |= ((1 << (size - window + 1)) - 1) << (end - size + 1)
     return masks
 
 
@@ -85,33 +83,33 @@ def _cut(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in slices(batches, "text"):
-            out: dict[str, list] = {c: [] for c in ("doc_id", "key", "start", "anchor", "units", "times", "hot", "words")}
+            out: dict[str, list] = {c: [] for c in ("doc_id", "key", "start", "anchor", "units", "times", "alone", "hot", "words")}
             for doc_id, key, text, want in zip(*(b.column(c).to_pylist() for c in ("doc_id", "key", "text", "wanted"))):
                 words = text.encode().split()
                 for w in want:
-                    for c in ("start", "anchor", "units", "times", "hot"):
+                    for c in ("start", "anchor", "units", "times", "alone", "hot"):
                         out[c].append(w[c])
                     out["doc_id"].append(doc_id)
                     out["key"].append(key)
                     out["words"].append(b" ".join(words[w["start"] : w["start"] + w["size"]]))
             yield out
 
-    return map_arrow(got, run, "doc_id bigint, key bigint, start int, anchor bigint, units bigint, times bigint, hot boolean, words binary")
+    return map_arrow(got, run, "doc_id bigint, key bigint, start int, anchor bigint, units bigint, times bigint, alone boolean, hot boolean, words binary")
 
 
 def _by_automata(pieces: DataFrame, shards: int) -> DataFrame:
     def run(batches):
         rows: dict[tuple[int, int], tuple] = {}
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("anchor", "units", "doc_id", "key", "start", "times", "words"))):
+            for r in zip(*(b.column(c).to_pylist() for c in ("anchor", "units", "doc_id", "key", "start", "times", "alone", "words"))):
                 rows[r[:2]] = r  # a repeated row gives its pieces again
         todo, size = [], 0
         ordered = sorted(rows.values(), key=lambda r: r[:2])
         for i, r in enumerate(ordered):
             todo.append(r)
-            size += len(r[6])
+            size += len(r[7])
             if i + 1 == len(ordered) or size >= AUTOMATON_BYTES and ordered[i + 1][0] != r[0]:
-                masks = repeats([(_place(*r[2:5]), r[5], r[6].split()) for r in todo])
+                masks = repeats([(_place(*r[2:5]), r[5], r[6], r[7].split()) for r in todo])
                 yield {"anchor": [r[0] for r in todo], "units": [r[1] for r in todo], "mask": masks}
                 todo, size = [], 0
 
