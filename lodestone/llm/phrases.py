@@ -148,7 +148,8 @@ def marks(docs: DataFrame, stage: Stage, window: int = WINDOW, gram: int = GRAM,
     if told[1]:
         masks = masks.unionByName(_by_windows(pieces.filter("hot"), window))
     masks = stage.save(masks, "masks")
-    known = reps.join(masks, ["anchor", "units"]).select("anchor", "units", "mask", F.struct("doc_id", "key", "start").alias("first"))
+    # a table of its own, so the join with a frequent segment's rows can be split
+    known = stage.save(reps.join(masks, ["anchor", "units"]).select("anchor", "units", "mask", F.struct("doc_id", "key", "start").alias("first")), "known")
     every = F.expr(f"shiftleft(1L, size - {window - 1}) - 1")
     found = cand.join(known, ["anchor", "units"]).withColumn("mask", F.when(F.struct("doc_id", "key", "start").eqNullSafe(F.col("first")), F.col("mask")).otherwise(every)).filter("mask <> 0")
     return found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
