@@ -241,7 +241,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
 
 def _pass(phrases: Phrases):
     def run(batches):
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", passages.HASH_BYTES):
             data, offsets = passages.text_bytes(b.column("text").fill_null(""))
             data = LOWER[data]
             start, end, code, rows = words_of(data, offsets)

@@ -19,7 +19,9 @@ from .common import map_arrow, slices, table, texts
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-MAX_ENTRIES = 500_000
+MAX_ENTRIES = 200_000
+#: Bytes of text whose words are looked up at once.
+LOOKUP_BYTES = 3 << 20
 
 
 class ChunkTable:
@@ -75,7 +77,7 @@ def piece_digests(docs: DataFrame, path: str, max_entries: int = MAX_ENTRIES) ->
 
     def run(batches):
         chunks = ChunkTable(path, max_entries)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", LOOKUP_BYTES):
             n, ids, decoded = [], [], []
             for k, i, d in chunks.code([t or "" for t in b.column("text").to_pylist()]):
                 n.append(k)
@@ -91,7 +93,7 @@ def encode(docs: DataFrame, path: str, max_entries: int = MAX_ENTRIES) -> DataFr
 
     def run(batches):
         chunks = ChunkTable(path, max_entries)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", LOOKUP_BYTES):
             rows = [r[1] for r in chunks.code([t or "" for t in b.column("text").to_pylist()])]
             yield {"doc_id": b.column("doc_id"), "ids": [list(map(int, r.split(","))) if r else [] for r in rows]}
 
