@@ -39,23 +39,28 @@ BLOCK = 1 << 21
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
 
 
+def shingles(text: str, size: int) -> list[bytes]:
+    """Each `size` neighbouring words of the text, in lower case and one space apart; of fewer words all; of none nothing."""
+    words = text.encode().translate(_LOWER).split()  # bytes.split() parts at 0x20 and 0x09-0x0D
+    if len(words) <= size:
+        return [b" ".join(words)] if words else []
+    joined, at, end = b" ".join(words), 0, sum(map(len, words[:size])) + size - 1
+    found = []
+    for first, after in zip(words, words[size:]):
+        found.append(joined[at:end])
+        at += len(first) + 1
+        end += len(after) + 1
+    found.append(joined[at:end])
+    return found
+
+
 def fingerprint(text: str, size: int = SHINGLE, seed: int = SEED) -> int:
     """64 bits, set where over half of the shingles' hashes have them set; 0 without words."""
-    words = text.encode().translate(_LOWER).split()  # bytes.split() parts at 0x20 and 0x09-0x0D
-    if not words:
+    found = shingles(text, size)
+    if not found:
         return 0
-    if len(words) <= size:
-        shingles = [b" ".join(words)]
-    else:
-        joined, at, end = b" ".join(words), 0, sum(map(len, words[:size])) + size - 1
-        shingles = []
-        for first, after in zip(words, words[size:]):
-            shingles.append(joined[at:end])
-            at += len(first) + 1
-            end += len(after) + 1
-        shingles.append(joined[at:end])
-    hashes = b"".join(map(partial(xxhash.xxh64_digest, seed=seed), shingles))
-    total, n = np.zeros(64, np.int64), len(shingles)
+    hashes = b"".join(map(partial(xxhash.xxh64_digest, seed=seed), found))
+    total, n = np.zeros(64, np.int64), len(found)
     raw = np.frombuffer(hashes, np.uint8).reshape(n, 8)
     for i in range(0, n, 1 << 16):
         total += np.unpackbits(raw[i : i + (1 << 16)], axis=1).sum(0, dtype=np.int64)
