@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestone.llm import contamination, copies, phrases, pieces, quality
 from lodestone.llm.common import Stage, table
@@ -19,9 +18,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id. Rows without id stay, as do all rows that share that id."""
-    gone = copies.groups(docs).filter("doc_id <> keep.doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone["_gone"], "left_anti")
+    """Of each group of near copies exactly one row, that of the smallest id; a null id comes after all others."""
+    return copies.distinct(docs)
 
 
 def fresh(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

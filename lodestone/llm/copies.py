@@ -45,9 +45,10 @@ def prefix(found: np.ndarray, listed: np.ndarray, rank: np.ndarray) -> np.ndarra
     return np.concatenate([found[~common], found[common][late]])[:most]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with two hashes of the text, which with the id tell rows apart."""
-    return docs.withColumns({"hash_1": F.xxhash64("text"), "hash_2": F.xxhash64(F.lit(1), "text")})
+def _key(docs: DataFrame) -> list[Column]:
+    """KEY: the id and two hashes of the text tell rows apart, except for repeated ones."""
+    text = docs["text"].cast("string")
+    return [docs["doc_id"].cast("bigint"), F.xxhash64(text), F.xxhash64(F.lit(1), text)]
 
 
 def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +88,8 @@ def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """
     spark = docs.sparkSession
     stage = Stage(spark, "copies")
-    docs = keyed(texts(docs))
+    docs = texts(docs)
+    docs = docs.select("text", *[c.alias(k) for c, k in zip(_key(docs), KEY)])
     listed, rank = _common(docs, size)
 
     def run(batches):
@@ -138,3 +140,19 @@ def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     least = kept.groupBy("root").agg(F.min("first").alias("keep"), F.sum("rows").alias("all")).filter("all > 1")
     kept = stage.save(kept.join(least, "root").select("node", "keep"), "kept")
     return stage.save(rows.select(*KEY, "node").join(kept, "node").select(*KEY, "keep"), "groups")
+
+
+def distinct(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """docs with exactly one row of each group, that of the least id (null after all others), of equal ids the one of the least hash."""
+    found = groups(docs, size)
+    same = F.struct(*KEY).eqNullSafe(F.struct(*[F.col("keep")[c] for c in KEY]))
+
+    def met(rows: DataFrame) -> list[Column]:
+        return [c.eqNullSafe(rows[k]) for c, k in zip(_key(docs), KEY)]
+
+    gone = found.filter(~same).select(KEY).distinct()
+    left = docs.join(gone, met(gone), "left_anti")
+    twins = found.filter(same).groupBy(KEY).count().filter("count > 1").select(KEY)
+    if twins.isEmpty():
+        return left
+    return left.join(twins, met(twins), "left_anti").unionByName(docs.join(twins, met(twins), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -71,3 +71,14 @@ def test_pipeline_stage_drops_copies_beyond_three_bits(spark):
     left = {r.doc_id for r in corpus_pipeline.distinct(spark, frame(spark, rows), "").collect()}
     assert left == {min(rows[k][0] for k in g) for g in groups(rows)}
     assert {c for _, _, c in plain.components(rows)} - left
+
+
+def test_one_row_of_each_group_stays_where_ids_repeat(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(9)
+    a, b, c, d = (" ".join("".join(rnd.choices("abcdefgh", k=4)) for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (2, a + " end"), (2, b), (1, a), (1, a + " more"), (None, a), (None, c), (None, c), (None, d), (3, d + " end"), (4, ""), (4, None), (None, "")]
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.distinct(spark, frame(spark, rows), "").collect()]
+    assert len(left) == 5 and {(2, b), (None, c), (3, d + " end")} <= set(left)
+    assert sum(i == 1 and t.startswith(a) for i, t in left) == 1 and sum(i == 4 for i, _ in left) == 1
