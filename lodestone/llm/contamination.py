@@ -66,7 +66,6 @@ class Phrases:
         self.windows = list(found)
         self.of = [sorted(x) for x in found.values()]
         self.length = np.array([len(w) for w in self.windows], np.int64)
-        self.full = self.length == window
         self.shortest = int(self.length.min()) if self.windows else 0
         # patterns flush right, as the search goes backward
         self.patterns = np.zeros((len(self.windows), window), np.int64)
@@ -220,22 +219,21 @@ def _merge(spans: list[int], more: list[int]) -> list[int]:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text, row, n_words, hit, cut, items for each row of docs.
+    """doc_id, text, row, n_words, hit, items for each row of docs.
 
-    hit: spans of words in any window's occurrence, flat (start, end, start, end, ...); cut: those of windows of full
-    length only; items: ids, as strings, of items with occurring windows. Null and empty texts have no words. Items
-    without words or id are ignored; texts of items with the same id count together. Repeated rows each give their own
-    row. Columns besides doc_id and text come within the struct `row`, so their names can't clash. Empty tables give
+    hit: spans of words in any window's occurrence, flat (start, end, start, end, ...); items: ids, as
+    strings, of items with occurring windows. Null and empty texts have no words. Items without words or id are
+    ignored; texts of items with the same id count together. Repeated rows each give their own row. Columns besides doc_id and text come within the struct `row`, so their names can't clash. Empty tables give
     empty results, or rows without hits.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.col("item").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = size // block_bytes + 1
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_none"), *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("row"), F.lit(0).cast("bigint").alias("n_words"), *[F.array().cast(f"array<{t}>").alias(c) for c, t in (("hit", "int"), ("cut", "int"), ("items", "string"))])
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_none"), *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("row"), F.lit(0).cast("bigint").alias("n_words"), *[F.array().cast(f"array<{t}>").alias(c) for c, t in (("hit", "int"), ("items", "string"))])
     kind = rows.schema["row"].dataType.simpleString()
     for block in range(blocks):
         phrases = Phrases([(r.item, r.text) for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()], window)
-        rows = map_arrow(rows, _pass(phrases), f"doc_id bigint, text string, row {kind}, n_words bigint, hit array<int>, cut array<int>, items array<string>")
+        rows = map_arrow(rows, _pass(phrases), f"doc_id bigint, text string, row {kind}, n_words bigint, hit array<int>, items array<string>")
     return rows
 
 
@@ -247,21 +245,20 @@ def _pass(phrases: Phrases):
             start, end, code, rows = words_of(data, offsets)
             which, at = occurrences(phrases, data, start, end, code, rows)
             n = b.num_rows
-            found: dict[str, list[list]] = {c: [[] for _ in range(n)] for c in ("hit", "cut", "items")}
-            for name, chosen in (("hit", np.ones(len(which), bool)), ("cut", phrases.full[which])):
-                change = np.zeros(len(code) + 1, np.int64)
-                np.add.at(change, at[chosen], 1)
-                np.add.at(change, at[chosen] + phrases.length[which[chosen]], -1)
-                for a, z in zip(*_runs(np.cumsum(change[:-1]) > 0)):
-                    while a < z:  # a run can go on in the next row
-                        r = int(np.searchsorted(rows, a, "right")) - 1
-                        e = min(int(z), int(rows[r + 1]))
-                        found[name][r] += [int(a - rows[r]), int(e - rows[r])]
-                        a = e
+            found: dict[str, list[list]] = {c: [[] for _ in range(n)] for c in ("hit", "items")}
+            change = np.zeros(len(code) + 1, np.int64)
+            np.add.at(change, at, 1)
+            np.add.at(change, at + phrases.length[which], -1)
+            for a, z in zip(*_runs(np.cumsum(change[:-1]) > 0)):
+                while a < z:  # a run can go on in the next row
+                    r = int(np.searchsorted(rows, a, "right")) - 1
+                    e = min(int(z), int(rows[r + 1]))
+                    found["hit"][r] += [int(a - rows[r]), int(e - rows[r])]
+                    a = e
             for r, w in sorted(set(zip((np.searchsorted(rows, at, "right") - 1).tolist(), which.tolist()))):
                 found["items"][r].extend(phrases.items[i] for i in phrases.of[w])
             old = {c: b.column(c).to_pylist() for c in found}
-            merged = {c: [_merge(x, y) for x, y in zip(old[c], found[c])] for c in ("hit", "cut")}
+            merged = {"hit": [_merge(x, y) for x, y in zip(old["hit"], found["hit"])]}
             merged["items"] = [sorted({*x, *y}) if y else x for x, y in zip(old["items"], found["items"])]
             yield {"doc_id": b.column("doc_id"), "text": b.column("text"), "row": b.column("row"), "n_words": np.diff(rows).tolist(), **merged}
 
@@ -281,7 +278,7 @@ def digests(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, items:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, items: int = ITEMS) -> DataFrame:
-    """docs without contaminated rows and without passages of full windows, its columns in order; other texts stay as they are.
+    """docs without contaminated rows and without passages that are hit, of short items too, its columns in order; other texts stay as they are.
 
     A passage goes from its first word to its last. A row that loses all its words goes too.
     """
@@ -291,7 +288,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, items: in
     def run(batches):
         for b in slices(batches, "text"):
             out = []
-            for text, cut in zip(b.column("text").to_pylist(), b.column("cut").to_pylist()):
+            for text, cut in zip(b.column("text").to_pylist(), b.column("hit").to_pylist()):
                 if cut:
                     raw = np.frombuffer(text.encode(), np.uint8)
                     start, end, _ = passages.words_at(LOWER[raw], np.array([0, len(raw)]), INSIDE)
@@ -303,9 +300,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, items: in
                             keep[start[a] : end[z - 1]] = False
                         text = raw[keep].tobytes().decode()
                 out.append(text)
-            yield {"doc_id": b.column("doc_id"), "text": out, "row": b.column("row"), "lost": [bool(c) and t is None for c, t in zip(b.column("cut").to_pylist(), out)]}
+            yield {"doc_id": b.column("doc_id"), "text": out, "row": b.column("row"), "lost": [bool(c) and t is None for c, t in zip(b.column("hit").to_pylist(), out)]}
 
-    got = map_arrow(got.select("doc_id", "text", "row", "cut"), run, f"doc_id bigint, text string, row {kind}, lost boolean").filter("not lost")
+    got = map_arrow(got.select("doc_id", "text", "row", "hit"), run, f"doc_id bigint, text string, row {kind}, lost boolean").filter("not lost")
     return got.select(*[(F.col(c) if c in ("doc_id", "text") else F.col("row").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
