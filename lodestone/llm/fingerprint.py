@@ -1,7 +1,7 @@
 """Document fingerprints: a quartile bucket digest of hashed byte triplets.
 
-Each window of WINDOW bytes gives byte triplets (its first byte and two of the others); each triplet is hashed into one
-of BUCKETS counters. The digest holds a checksum byte, the length on a logarithmic scale, two quartile ratios and two
+Each window of WINDOW bytes gives byte triplets (its first byte and two of the others), a text shorter than that those
+it has; each triplet is hashed into one of BUCKETS counters. The digest holds a checksum byte, the length on a logarithmic scale, two quartile ratios and two
 bits per bucket: the quartile of the counts that the bucket's count lies in. Two digests differ by a bounded score.
 
 The next document in order of doc_id is found by one range partitioning on doc_id: in a sorted partition it is the next
@@ -12,6 +12,7 @@ afterwards.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,8 @@ WINDOW = 5
 TRIPLETS = ((1, 2, 0x9E37), (1, 3, 0x85EB), (2, 4, 0xC2B3))
 #: Bytes hashed at once.
 BLOCK = 1 << 20
-#: The largest difference of two digests: 3 steps for each bucket, 12 each for length and ratios.
-MOST = 3 * BUCKETS + 12 * 3
+#: The largest difference of two digests: 3 steps for each bucket, 12 each for length and ratios, 1 for the checksum.
+MOST = 3 * BUCKETS + 12 * 3 + 1
 
 
 def bucket_counts(data: bytes) -> np.ndarray:
@@ -35,10 +36,10 @@ def bucket_counts(data: bytes) -> np.ndarray:
     b = np.frombuffer(data, np.uint8)
     for at in range(0, max(1, len(b) - WINDOW + 1), BLOCK):
         part = b[at : at + BLOCK + WINDOW - 1].astype(np.uint32)
-        n = len(part) - WINDOW + 1
-        if n <= 0:
-            break
         for i, j, salt in TRIPLETS:
+            n = len(part) - (WINDOW - 1 if len(b) >= WINDOW else j)
+            if n <= 0:
+                continue
             h = part[:n] | part[i : i + n] << np.uint32(8) | part[j : j + n] << np.uint32(16)
             h = (h + np.uint32(salt)) * np.uint32(2654435761)
             h ^= h >> np.uint32(15)
@@ -48,14 +49,14 @@ def bucket_counts(data: bytes) -> np.ndarray:
 
 
 def digest(data: bytes) -> str:
-    """Hex digits: length (2), ratios of the quartiles (2), two bits for each bucket (BUCKETS / 2). Equal bytes, equal digest."""
+    """Hex digits: checksum (2), length (2), ratios of the quartiles (2), two bits for each bucket (BUCKETS / 2). Equal bytes, equal digest."""
     counts = bucket_counts(data)
     q1, q2, q3 = np.sort(counts)[[BUCKETS // 4 - 1, BUCKETS // 2 - 1, 3 * BUCKETS // 4 - 1]]
     size = min(255, int(np.log1p(len(data)) * 12))
     ratios = (int(q1 * 15 // q3) << 4 | int(q2 * 15 // q3)) if q3 else 0
     quartile = (counts > q1).astype(np.uint8) + (counts > q2) + (counts > q3)
     packed = quartile[0::4] << 6 | quartile[1::4] << 4 | quartile[2::4] << 2 | quartile[3::4]
-    return f"{size:02x}{ratios:02x}" + packed.astype(np.uint8).tobytes().hex()
+    return f"{zlib.crc32(data) & 0xFF:02x}{size:02x}{ratios:02x}" + packed.astype(np.uint8).tobytes().hex()
 
 
 _STEPS = np.array([[sum(abs((x >> s & 3) - (y >> s & 3)) for s in (0, 2, 4, 6)) for y in range(256)] for x in range(256)], np.int32)
@@ -66,9 +67,9 @@ def likeness(a: str, b: str) -> float:
     if a == b:
         return 1.0
     x, y = np.frombuffer(bytes.fromhex(a), np.uint8), np.frombuffer(bytes.fromhex(b), np.uint8)
-    score = min(12, abs(int(x[0]) - int(y[0])))
-    score += min(12, abs(int(x[1] >> 4) - int(y[1] >> 4))) + min(12, abs(int(x[1] & 15) - int(y[1] & 15)))
-    return 1.0 - (score + int(_STEPS[x[2:], y[2:]].sum())) / MOST
+    score = int(x[0] != y[0]) + min(12, abs(int(x[1]) - int(y[1])))
+    score += min(12, abs(int(x[2] >> 4) - int(y[2] >> 4))) + min(12, abs(int(x[2] & 15) - int(y[2] & 15)))
+    return 1.0 - (score + int(_STEPS[x[3:], y[3:]].sum())) / MOST
 
 
 def edited(text: str, following: str) -> str:
