@@ -7,7 +7,8 @@ of texts with the same shingle small.
 
 Equal sets are one point. Of each bucket some points, the leaders, are compared with all others first, which joins a
 large group by as many pairs as it has points. What is then still apart is compared pair by pair, except among points
-of the bucket's largest component. All comparisons are of whole sets.
+of the bucket's largest component. Pairs that the parities of their sets' hashes show to differ too much are left out
+(parities never show more differences than there are); the others are compared as whole sets.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ SHINGLE = 5
 SAMPLE, COMMON, LISTED = 1 << 14, 4, 1 << 16
 #: Leaders of each bucket.
 LEADERS = 2
+#: Bits of the parities, 64 in each of so many numbers.
+WORDS = 8
 
 KEY = ["doc_id", "hash_1", "hash_2"]
 
@@ -45,6 +48,12 @@ def prefix(found: np.ndarray, listed: np.ndarray, rank: np.ndarray) -> np.ndarra
     return np.concatenate([found[~common], found[common][late]])[:most]
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """Bits, each set if an odd number of marks fall on it: two sets differ in at least as many marks as their parities in bits."""
+    count = np.bincount((found.view(np.uint64) % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS)
+    return np.packbits(count & 1).view(np.int64)
+
+
 def _key(docs: DataFrame) -> list[Column]:
     """KEY: the id and two hashes of the text tell rows apart, except for repeated ones."""
     text = docs["text"].cast("string")
@@ -74,10 +83,22 @@ def _sizes_fit(n: Column, m: Column) -> Column:
     return (5 * n >= 4 * m) & (5 * m >= 4 * n)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have at least 4 of 5 shingles in common."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("marks").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("marks").alias("y")), "b")
-    return both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+def _similar(stage: Stage, name: str, pairs: DataFrame, points: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Those of the pairs (a, b) of points whose sets have a similarity of at least 0.8."""
+    x, y = (points.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}")) for c in "ab")
+    bits = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(WORDS)), F.lit(0))
+    near = stage.save(pairs.join(x, "a").join(y, "b").filter(9 * bits <= F.col("n_a") + F.col("n_b")).select("a", "b"), f"near-{name}")
+    nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    wanted = stage.save(points.join(nodes, "node", "left_semi").select("node", *[F.col("first")[c].alias(f"_{c}") for c in KEY]), f"wanted-{name}")
+    chosen = docs.join(wanted, [docs[c].eqNullSafe(wanted[f"_{c}"]) for c in KEY]).select("node", "text").dropDuplicates(["node"])
+
+    def run(batches):
+        for b in slices(batches, "text"):
+            yield {"node": b.column("node"), "marks": [marks(t or "", size) for t in b.column("text").to_pylist()]}
+
+    sets = stage.save(map_arrow(chosen, run, "node binary, marks array<bigint>"), f"sets-{name}")
+    both = near.join(sets.select(F.col("node").alias("a"), F.col("marks").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("marks").alias("y")), "b")
+    return stage.save(both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), f"similar-{name}")
 
 
 def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -95,25 +116,16 @@ def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     def run(batches):
         for b in slices(batches, "text"):
             sets = [marks(t or "", size) for t in b.column("text").to_pylist()]
-            yield {**{c: b.column(c) for c in KEY}, "node": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "n": list(map(len, sets)), "prefix": [prefix(s, listed, rank) for s in sets]}
+            yield {**{c: b.column(c) for c in KEY}, "node": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "n": list(map(len, sets)), "parity": list(map(parity, sets)), "prefix": [prefix(s, listed, rank) for s in sets]}
 
-    rows = stage.save(map_arrow(docs, run, "doc_id bigint, hash_1 bigint, hash_2 bigint, node binary, n int, prefix array<bigint>"), "rows")
+    rows = stage.save(map_arrow(docs, run, "doc_id bigint, hash_1 bigint, hash_2 bigint, node binary, n int, parity array<bigint>, prefix array<bigint>"), "rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), *KEY)
-    # a node's rows have the same prefix
-    points = stage.save(rows.groupBy("node").agg(F.min(F.struct(order.alias("first"), "n", "prefix")).alias("p"), F.count(F.lit(1)).alias("rows")).select("node", "p.first", "p.n", "p.prefix", "rows"), "points")
+    # rows of a node have the same prefix and parity
+    points = stage.save(rows.groupBy("node").agg(F.min(F.struct(order.alias("first"), "n", "parity", "prefix")).alias("p"), F.count(F.lit(1)).alias("rows")).select("node", "p.first", "p.n", "p.parity", "p.prefix", "rows"), "points")
     places = points.select("node", "n", F.explode("prefix").alias("mark"))
     shared = stage.save(places.groupBy("mark").count().filter("count > 1").select("mark"), "shared")
     placed = stage.save(places.join(shared, "mark"), "placed")
 
-    def measured(batches):
-        for b in slices(batches, "text"):
-            yield {"node": b.column("node"), "marks": [marks(t or "", size) for t in b.column("text").to_pylist()]}
-
-    wanted = stage.save(points.join(placed.select("node").distinct(), "node", "left_semi").select("node", *[F.col("first")[c].alias(c) for c in KEY]), "wanted")
-    some = wanted.select("node", *[F.col(c).alias(f"_{c}") for c in KEY])
-    chosen = docs.join(some, [docs[c].eqNullSafe(some[f"_{c}"]) for c in KEY]).select("node", "text").dropDuplicates(["node"])
-    sets = stage.save(map_arrow(chosen, measured, "node binary, marks array<bigint>"), "sets")
-
     def rooted(turn: str) -> DataFrame:
         found = components(Stage(spark, f"copies-{turn}"), edges)
         return stage.save(placed.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), f"rooted-{turn}")
@@ -125,7 +137,7 @@ def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         pairs = now.join(lead, "mark").filter((F.col("root") != F.col("lead.root")) & _sizes_fit(F.col("n"), F.col("lead.n"))).select(*_pair(F.col("node"), F.col("lead.node"))).distinct()
         pairs = stage.save(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        more = stage.save(_similar(pairs, sets), f"similar-{turn}")
+        more = _similar(stage, str(turn), pairs, points, docs, size)
         edges = more if edges is None else edges.unionByName(more)
         now = rooted(str(turn))
     parts = now.groupBy("mark", "root").count().groupBy("mark").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
@@ -133,7 +145,7 @@ def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     x, y = apart.filter(F.col("root") != F.col("main")).alias("x"), apart.alias("y")
     rest = x.join(y, (F.col("x.mark") == F.col("y.mark")) & (F.col("x.root") != F.col("y.root")) & _sizes_fit(F.col("x.n"), F.col("y.n")))
     rest = stage.save(rest.select(*_pair(F.col("x.node"), F.col("y.node"))).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
-    edges = edges.unionByName(stage.save(_similar(rest, sets), "similar"))
+    edges = edges.unionByName(_similar(stage, "rest", rest, points, docs, size))
     found = components(Stage(spark, "copies-last"), edges)
 
     kept = points.select("node", "first", "rows").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -61,6 +61,7 @@ def test_similar_sets_share_a_mark_of_their_prefixes():
         a = np.unique(rnd.integers(0, 900, rnd.integers(1, 60)))
         b = np.unique(np.r_[rnd.permutation(a)[: rnd.integers(4 * len(a) // 5, len(a) + 1)], rnd.integers(0, 900, rnd.integers(0, 5))])
         if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)):
+            assert 9 * sum(int(x ^ y).bit_count() for x, y in zip(copies.parity(a).view(np.uint64), copies.parity(b).view(np.uint64))) <= len(a) + len(b)
             assert set(copies.prefix(a, listed, rank)) & set(copies.prefix(b, listed, rank))
 
 
