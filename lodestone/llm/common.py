@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -54,6 +54,15 @@ class Stage:
         df.write.option("compression", "zstd").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
+    def deal(self, df: DataFrame, name: str, column: str) -> DataFrame:
+        """The same as save, in buckets of the column: joins on it then move only their other side.
+
+        The catalogue knows the table until the session ends; its files are where save's are.
+        """
+        known, width = f"lodestone_{uuid.uuid4().hex}", shuffle_width(self.spark)
+        df.repartition(width, column).write.bucketBy(width, column).option("compression", "zstd").option("path", f"{self.root}/{name}").saveAsTable(known)
+        return self.spark.table(known)
+
     def drop(self, name: str) -> None:
         fs, path = self._fs(f"{self.root}/{name}")
         fs.delete(path, True)
@@ -90,6 +99,20 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
     return df.mapInArrow(run, kinds)
 
 
+def rest(df: DataFrame, flag: Column) -> tuple[Column, str]:
+    """The columns of df besides doc_id and text in a struct `row`, beside a flag under the name given back, which none of them has."""
+    others = [c for c in df.columns if c.lower() not in ("doc_id", "text")]
+    name = "_flag"
+    while name in {c.lower() for c in others}:
+        name = "_" + name
+    return F.struct(flag.alias(name), *[F.col(f"`{c.replace('`', '``')}`").alias(c) for c in others]).alias("row"), name
+
+
+def unpacked(df: DataFrame, schema: StructType, **own: Column) -> DataFrame:
+    """The columns of schema in order and in their types: own ones as given, the others out of `row`."""
+    return df.select(*[(own[f.name.lower()] if f.name.lower() in own else F.col("row").getField(f.name)).cast(f.dataType).alias(f.name) for f in schema])
+
+
 def texts(df: DataFrame, *more: str) -> DataFrame:
     """doc_id and text, with null texts as they are; other columns only where named."""
     return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

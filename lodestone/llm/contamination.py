@@ -5,7 +5,10 @@ long enough for a window are indexed: suffix order, Burrows-Wheeler transform, i
 SAMPLE-th suffix position. All windows are searched backward at once, located through the sampled positions, and their
 words merged into removal spans. Words that no item has can be in no occurrence, so leaving them out loses nothing.
 
-Items are read by the driver in blocks of bounded size, one pass over the documents for each; passes need no shuffle.
+Words are numbered by a hash, so every occurrence is held against the window's own words before it counts.
+
+Items are cut into overlapping parts and read by the driver in blocks of bounded size, one pass over the documents for
+each; passes need no shuffle. After PASSES of them the rows are written, so no task ever holds more tables than that.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import passages
-from .common import map_arrow, slices, table
+from .common import Stage, map_arrow, rest, slices, table, unpacked
 
 WINDOW = 8
 #: A document with so many items is contaminated.
@@ -25,6 +28,10 @@ ITEMS = 2
 SAMPLE = 4
 #: Bytes of benchmark text that are searched in one pass.
 BLOCK_BYTES = 4 << 20
+#: Bytes of an item's part, about.
+PART_BYTES = 1 << 16
+#: Passes in one stage.
+PASSES = 8
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
@@ -39,37 +46,38 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Phrases:
-    """The distinct windows of some items, over a vocabulary numbered from 1."""
+    """The distinct windows of some items: as words, and as patterns over their words' hashes numbered from 1."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        number: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
+        number: dict[int, int] = {}
+        pattern: dict[tuple[int, ...], int] = {}
+        self.place: dict[tuple[bytes, ...], int] = {}
+        of: list[set[int]] = []
         self.items = sorted({i for i, _ in items})
-        place = {i: k for k, i in enumerate(self.items)}
+        item_at = {i: k for k, i in enumerate(self.items)}
         for item, text in items:
             data = LOWER[np.frombuffer(text.encode(), np.uint8)]
-            start, end, _, _ = words_of(data, np.array([0, len(data)]))
+            start, end, code, _ = words_of(data, np.array([0, len(data)]))
             raw = data.tobytes()
-            ids = [number.setdefault(raw[a:b], len(number) + 1) for a, b in zip(start.tolist(), end.tolist())]
+            ids = [number.setdefault(c, len(number) + 1) for c in code.tolist()]
+            words = [raw[a:b] for a, b in zip(start.tolist(), end.tolist())]
             for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(place[item])
-        self.words = [b"", *number]
-        joined = np.frombuffer(b"".join(self.words), np.uint8)
-        size = np.array([len(w) for w in self.words], np.int64)
-        end = np.cumsum(size)
-        code = passages.span_hash(passages.prefix_hash(passages.BYTE_VALUES[joined]), end - size, end)
-        code[0] = 0
-        by = np.argsort(code[1:]) + 1
-        self.codes, self.numbers = code[by], by.astype(np.int32)
+                pattern.setdefault(tuple(ids[i : i + window]), len(pattern))
+                at = self.place.setdefault(tuple(words[i : i + window]), len(of))
+                if at == len(of):
+                    of.append(set())
+                of[at].add(item_at[item])
+        self.of = [sorted(x) for x in of]
+        self.codes = np.array(sorted(number), np.uint64)
+        self.numbers = np.array([number[c] for c in sorted(number)], np.int32)
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.codes >> np.uint64(48)).astype(np.int64)] = True
-        self.windows = list(found)
-        self.of = [sorted(x) for x in found.values()]
-        self.length = np.array([len(w) for w in self.windows], np.int64)
-        self.shortest = int(self.length.min()) if self.windows else 0
+        self.length = np.array([len(w) for w in self.place], np.int64)
+        self.sizes = np.array([len(w) for w in pattern], np.int64)
+        self.shortest = int(self.length.min()) if of else 0
         # patterns flush right, as the search goes backward
-        self.patterns = np.zeros((len(self.windows), window), np.int64)
-        for k, w in enumerate(self.windows):
+        self.patterns = np.zeros((len(pattern), window), np.int64)
+        for k, w in enumerate(pattern):
             self.patterns[k, window - len(w) :] = w
 
     def number(self, code: np.ndarray) -> np.ndarray:
@@ -163,7 +171,7 @@ class FMIndex:
 def occurrences(phrases: Phrases, data: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows that occur in a shard and the word (counted in the shard) each occurrence starts at."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not phrases.windows or not len(code):
+    if not len(phrases.patterns) or not len(code):
         return none
     number = phrases.number(code)
     row = np.searchsorted(rows, np.arange(len(code)), "right")
@@ -187,18 +195,14 @@ def occurrences(phrases: Phrases, data: np.ndarray, start: np.ndarray, end: np.n
         return none
     step = np.arange(len(which)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
     at = place[index.locate(np.repeat(low, high - low) + step)]
-    # words were numbered by their hash: hold the words themselves against the window's
-    raw, true = data.tobytes(), {}
-    keep = np.zeros(len(which), bool)
-    for k, (w, a) in enumerate(zip(which.tolist(), at.tolist())):
-        for i, x in enumerate(phrases.windows[w], a):
-            if i not in true:
-                true[i] = raw[start[i] : end[i]] == phrases.words[number[i]]
-            if not true[i]:
-                break
-        else:
-            keep[k] = True
-    return which[keep], at[keep]
+    # words were numbered by their hash: the window of that place must be an item's, word for word
+    raw = data.tobytes()
+    size = phrases.sizes[which]
+    spans = zip(start.tolist(), end.tolist()) if 4 * len(at) > len(start) else None
+    words = [raw[a:b] for a, b in spans] if spans else None
+    cut = (lambda a, n: tuple(words[a : a + n])) if words else (lambda a, n: tuple([raw[x:y] for x, y in zip(start[a : a + n].tolist(), end[a : a + n].tolist())]))
+    true = np.array([phrases.place.get(cut(a, n), -1) for a, n in zip(at.tolist(), size.tolist())], np.int64)
+    return true[true >= 0], at[true >= 0]
 
 
 def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,17 +230,45 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     ignored; texts of items with the same id count together. Repeated rows each give their own row. Columns besides doc_id and text come within the struct `row`, so their names can't clash. Empty tables give
     empty results, or rows without hits.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.col("item").isNotNull())
+    stage = Stage(docs.sparkSession, "contamination")
+    items = stage.save(parts(benchmark, window), "items")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = size // block_bytes + 1
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_none"), *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("row"), F.lit(0).cast("bigint").alias("n_words"), *[F.array().cast(f"array<{t}>").alias(c) for c, t in (("hit", "int"), ("items", "string"))])
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), rest(docs, F.lit(True))[0], F.lit(0).cast("bigint").alias("n_words"), *[F.array().cast(f"array<{t}>").alias(c) for c, t in (("hit", "int"), ("items", "string"))])
     kind = rows.schema["row"].dataType.simpleString()
     for block in range(blocks):
-        phrases = Phrases([(r.item, r.text) for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()], window)
+        if block and block % PASSES == 0:
+            rows = stage.save(rows, f"rows-{block}")
+        # about block_bytes of parts, each of a bounded size
+        phrases = Phrases([(r.item, r.text) for r in items.filter(F.pmod(F.xxhash64("item", "part"), F.lit(blocks)) == block).collect()], window)
         rows = map_arrow(rows, _pass(phrases), f"doc_id bigint, text string, row {kind}, n_words bigint, hit array<int>, items array<string>")
     return rows
 
 
+def parts(benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+    """item, part, text: items with an id and words, in parts that overlap by so many words that each window is in one of them."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.col("item").isNotNull())
+
+    def run(batches):
+        for b in batches:
+            out: dict[str, list] = {c: [] for c in ("item", "part", "text")}
+            for item, text in zip(b.column("item").to_pylist(), b.column("text").to_pylist()):
+                raw = text.encode()
+                start, end, _ = passages.words_at(LOWER[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]), INSIDE)
+                first, k = 0, 0
+                while first < len(start):
+                    last = max(first + window, int(np.searchsorted(start, start[first] + part_bytes)))
+                    last = min(last, len(start))
+                    out["item"].append(item)
+                    out["part"].append(k)
+                    out["text"].append(raw[start[first] : end[last - 1]].decode())
+                    k += 1
+                    first = len(start) if last == len(start) else last - window + 1
+            yield out
+
+    return map_arrow(items, run, "item string, part int, text string")
+
+
 def _pass(phrases: Phrases):
     def run(batches):
         for b in slices(batches, "text", passages.HASH_BYTES):
@@ -303,7 +335,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, items: in
             yield {"doc_id": b.column("doc_id"), "text": out, "row": b.column("row"), "lost": [bool(c) and t is None for c, t in zip(b.column("hit").to_pylist(), out)]}
 
     got = map_arrow(got.select("doc_id", "text", "row", "hit"), run, f"doc_id bigint, text string, row {kind}, lost boolean").filter("not lost")
-    return got.select(*[(F.col(c) if c in ("doc_id", "text") else F.col("row").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    return unpacked(got, docs.schema, doc_id=F.col("doc_id"), text=F.col("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,19 +5,24 @@ is the window's anchor: equal windows have equal anchors at equal distances. Nei
 form a segment, so each window lies in exactly one segment, and windows can be equal only if their segments have anchors
 of equal hash. That makes the search for repeated windows a grouping of segments by anchor:
 
-1. segments: anchor, a hash of the segment's units, place. No text is carried.
-2. candidates: segments whose anchor occurs again. Equal segments (hash of anchor and of units, 128 bits) are collapsed
-   into one representative, the first in order, with a count. Copies thus cost a row each, but no text.
-3. representatives get their text by one join with the documents and go, by anchor, to shards of bounded size.
-4. a shard's index decides which windows of its representatives occur again; all occurrences inherit by a join.
+1. rows are numbered and written once, dealt by their number, so that what follows meets a row's text without moving it;
+2. segments: anchor, size and a digest of the segment's bytes, place. No text is carried;
+3. candidates: segments whose anchor occurs again. Equal segments (equal in size and in 128 bits of BLAKE2b, for which
+   nobody can make two strings) are collapsed into one representative, the first in order, with a count. Copies thus
+   cost a row each, but no text;
+4. representatives get their text from the rows and go, by anchor, to shards of bounded size;
+5. a shard's index decides which windows of its representatives occur again; all occurrences inherit by a join.
+
+The hash that chooses anchors only decides who meets whom; it never says that two strings are equal.
 
 An anchor with more than `hot` different segments isn't held by one task: its representatives are cut into windows,
-which are dealt by their own content, so each group holds equal windows only, of which one representative is enough.
+which are dealt by a digest of their own content, so each group holds equal windows only. That is exact, too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +34,7 @@ from .common import Stage, map_arrow, slices
 #: Bytes of text that are hashed at once; one longer document is hashed whole.
 HASH_BYTES = 2 << 20
 #: An anchor with more different segments is dealt by single windows.
-HOT = 20_000
+HOT = 2000
 BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _powers: list[np.ndarray] = []
@@ -90,12 +95,12 @@ def words_at(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple
 
 
 def winnow(values: np.ndarray, offsets: np.ndarray, k: int, window: int) -> tuple[np.ndarray, ...]:
-    """Segments of documents whose units have these hash values: document, start, units, hash of anchor, hash of units."""
+    """Segments of documents whose units have these hash values: document, start, number of units, hash of anchor."""
     n = len(values)
     lengths = np.diff(offsets)
     long = np.flatnonzero(lengths >= window)
     if not len(long):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     prefix = prefix_hash(values)
     _, down = powers(n + 1)
     gram = mix((prefix[k:] - prefix[:-k]) * down[: n - k + 1])
@@ -115,57 +120,80 @@ def winnow(values: np.ndarray, offsets: np.ndarray, k: int, window: int) -> tupl
     start, last = at[new], at[np.r_[new[1:], len(at)] - 1]
     end = last + window
     doc = np.searchsorted(offsets, start, "right") - 1
-    return doc, start - offsets[doc], end - start, gram[anchor[new]], span_hash(prefix, start, end)
+    return doc, start - offsets[doc], end - start, gram[anchor[new]]
+
+
+def same_content(data: bytes) -> bytes:
+    """16 bytes that stand for a string wherever two are held to be equal."""
+    return blake2b(data, digest_size=16).digest()
 
 
-def row_key() -> Column:
-    """A hash that, with the id, tells rows apart; equal rows have equal results anyway."""
-    return F.xxhash64("doc_id", "text")
+def dealt(stage: Stage, docs: DataFrame, *more: Column) -> DataFrame:
+    """rid, doc_id, text (null: empty) and more columns of docs, written once and dealt by rid, a number of the row.
 
+    Repeated rows have numbers of their own, so no part of the table can grow hot.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
+    return stage.deal(rows, "dealt", "rid")
 
-def keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text (null: empty), key."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more).withColumn("key", row_key())
 
+#: What equal segments have in common; the anchor follows from the rest and says where they meet.
+SAME = ["anchor", "size", "digest_1", "digest_2"]
 
-SEGMENT = "doc_id bigint, key bigint, start int, size int, anchor bigint, units bigint"
 
+def segments(rows: DataFrame, units: Callable, k: int, window: int, *order: str) -> DataFrame:
+    """rid, order columns, start, SAME of the rows' segments.
 
-def segments(rows: DataFrame, units: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], k: int, window: int) -> DataFrame:
-    """The segments of keyed rows; units gives hash values and offsets of a slice's units from its bytes and offsets."""
+    units gives, for a slice's bytes and offsets, the hash values of its units, each row's offset in units, and the
+    bytes that a run of units stands for: the buffer and every unit's start and end in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in slices(batches, "text", HASH_BYTES):
-            values, offsets = units(*text_bytes(b.column("text")))
-            doc, start, size, anchor, own = winnow(values, offsets, k, window)
+            values, offsets, data, begin, end = units(*text_bytes(b.column("text")))
+            doc, start, size, anchor = winnow(values, offsets, k, window)
             if len(doc):
+                first = offsets[doc] + start
+                raw = memoryview(data)
+                spans = zip(begin[first].tolist(), end[first + size - 1].tolist())
+                digest = np.frombuffer(b"".join([blake2b(raw[x:y], digest_size=16).digest() for x, y in spans]), np.int64).reshape(-1, 2)
                 place = pa.array(doc)
-                yield {"doc_id": b.column("doc_id").take(place), "key": b.column("key").take(place), "start": pa.array(start.astype(np.int32)), "size": pa.array(size.astype(np.int32)), "anchor": pa.array(anchor.view(np.int64)), "units": pa.array(own.view(np.int64))}
+                own = {c: b.column(c).take(place) for c in ("rid", *order)}
+                yield {**own, "start": pa.array(start.astype(np.int32)), "size": pa.array(size.astype(np.int32)), "anchor": pa.array(anchor.view(np.int64)), "digest_1": pa.array(digest[:, 0]), "digest_2": pa.array(digest[:, 1])}
 
-    return map_arrow(rows, run, SEGMENT)
+    schema = "".join(f"{c} bigint, " for c in ("rid", *order)) + "start int, size int, anchor bigint, digest_1 bigint, digest_2 bigint"
+    return map_arrow(rows.select("rid", *order, "text"), run, schema)
 
 
-def candidates(stage: Stage, found: DataFrame) -> DataFrame:
-    """Segments whose anchor occurs again. Anchors are counted before the shuffle; being a table of its own, the counts meet a frequent anchor's rows in a join that can be split."""
-    often = stage.save(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor"), "often")
-    return stage.save(found.join(often, "anchor", "left_semi").select(found.columns), "candidates")
+def anchors(rows: DataFrame, units: Callable, k: int, window: int) -> DataFrame:
+    """The anchor of every segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in slices(batches, "text", HASH_BYTES):
+            values, offsets, *_ = units(*text_bytes(b.column("text")))
+            *_, anchor = winnow(values, offsets, k, window)
+            yield {"anchor": pa.array(anchor.view(np.int64))}
+
+    return map_arrow(rows.select("text"), run, "anchor bigint")
 
 
-def representatives(stage: Stage, cand: DataFrame, hot: int = HOT) -> DataFrame:
-    """One row for equal segments: the first of them in order (doc_id, key, start), their number, whether it is its anchor's only one (alone) or one of too many (hot)."""
-    one = cand.groupBy("anchor", "units").agg(F.min(F.struct("doc_id", "key", "start")).alias("first"), F.min("size").alias("size"), F.count(F.lit(1)).alias("times"))
-    one = stage.save(one.select("anchor", "units", "first.doc_id", "first.key", "first.start", "size", "times"), "distinct")
-    kinds = one.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    per = one.join(kinds, "anchor").select(*one.columns, (F.col("kinds") == 1).alias("alone"), (F.col("kinds") > hot).alias("hot"))
-    return stage.save(per, "representatives")
+def candidates(stage: Stage, rows: DataFrame, units: Callable, k: int, window: int, *order: str) -> DataFrame:
+    """Segments whose anchor occurs again. Anchors are counted before the shuffle; being a table of its own, the counts meet a frequent anchor's rows in a join that can be split."""
+    often = stage.save(anchors(rows, units, k, window).groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor"), "often")
+    found = segments(rows, units, k, window, *order)
+    return stage.save(found.join(often, "anchor", "left_semi").select(found.columns), "candidates")
 
 
-def same_row(a: DataFrame, b: DataFrame) -> Column:
-    return (a["key"] == b["key"]) & a["doc_id"].eqNullSafe(b["doc_id"])
+def representatives(stage: Stage, cand: DataFrame, order: list[str], hot: int = HOT) -> DataFrame:
+    """One row for equal segments: SAME, the first place in the given order, the number of places, whether its anchor has too many."""
+    one = cand.groupBy(SAME).agg(F.min(F.struct(order)).alias("first"), F.count(F.lit(1)).alias("times"))
+    one = stage.save(one.select(*SAME, *[F.col("first")[c].alias(c) for c in order], "times"), "distinct")
+    # fewer rows than a hot-th part of the segments
+    crowds = stage.save(one.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > hot).select("anchor", F.lit(True).alias("hot")), "crowds")
+    return one.join(crowds, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
 
 
 def with_text(rows: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
-    """text of keyed rows, with an array of the wanted rows' structs; a document's array is bounded by its length."""
-    per = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c not in ("doc_id", "key")])).alias(name))
-    per = per.select("doc_id", "key", name)
-    return rows.join(per, same_row(rows, per)).select(rows["doc_id"], rows["key"], "text", name)
+    """text of dealt rows, with an array of the wanted rows' structs; a document's array is bounded by its length."""
+    per = wanted.groupBy("rid").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c != "rid"])).alias(name))
+    return rows.select("rid", "text").join(per, "rid")
