@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over as many partitions as there are cores, where a small input has fewer; others stay as they are."""
+    width = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(width) if df.rdd.getNumPartitions() < width else df
+
+
 def work_base(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; a temporary one only where none is set and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)

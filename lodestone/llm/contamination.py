@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import passages
-from .common import Stage, map_arrow, rest, slices, table, unpacked
+from .common import Stage, map_arrow, rest, slices, spread, table, unpacked
 
 WINDOW = 8
 #: A document with so many items is contaminated.
@@ -339,7 +339,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, items: in
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return digests(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 ORACLE_SQL = None  # word windows of all texts: tested against a plain loop instead

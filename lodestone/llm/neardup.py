@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, map_arrow, slices, table, texts
+from .common import Stage, map_arrow, slices, spread, table, texts
 
 LINK = 3
 SHINGLE = 3
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, link: int = LINK, size: int = SHINGLE, seed
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 ORACLE_SQL = None  # XXH64 and components aren't within the SQL at hand: tested against a plain loop instead

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_arrow, slices, table, texts
+from .common import map_arrow, slices, spread, table, texts
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -116,7 +116,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
+    return piece_digests(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(MODEL))
 
 
 ORACLE_SQL = None  # merges of a vocabulary can't be said in SQL

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, table, texts
+from .common import map_arrow, slices, spread, table, texts
 
 #: At most so many trusted positives and unlabelled rows are fitted on.
 POSITIVES, UNLABELLED = 6000, 12_000
@@ -154,7 +154,7 @@ def accept(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float =
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 

@@ -16,7 +16,7 @@ from operator import mul
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_arrow, slices, table, texts
+from .common import map_arrow, slices, spread, table, texts
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -116,7 +116,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, max_entries: in
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return token_counts(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(TOKENIZER))
 
 
 ORACLE_SQL = None  # merges of a vocabulary can't be said in SQL

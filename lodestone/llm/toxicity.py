@@ -2,9 +2,12 @@
 
 The kernel of two words counts their common subsequences of ORDER characters, each weighted by DECAY to the power of
 the stretch it spans in either word, and is normalised to 1 for equal words. Gaps and inserted characters lower it only
-a little. The kernel of a sentence and a landmark is that of the sentence's best word, that of a document that of its
-best sentence; a second vector takes the document's second best word. Of either vector k, K^(-1/2) k are features, K
-being the landmarks' own kernel matrix; a linear SVM is trained on them, and Platt scaling turns its margin into a score.
+a little; blanks inserted are met by joining neighbouring short words. Kernels up to FLOOR count as none. The unit is
+the sentence: its kernel with a landmark is that of its best word. A document is the bag of its sentences, and its
+features are the best sentence's kernel and the density of such sentences (their sum against the document's length).
+Of either vector k, K^(-1/2) k are features, K being the landmarks' own kernel matrix; a linear SVM is trained on them,
+and Platt scaling turns its margin into a score. Labels are those of documents, so a sentence is labelled by the
+document it stands in.
 
 Landmarks and training rows come from bounded samples of labelled rows (the smallest hashes of ids). Scoring is one
 pass over whole texts without a shuffle: the distinct words of each slice of text are compared with the landmarks once.
@@ -22,47 +25,63 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, table, texts
+from .common import Stage, map_arrow, shuffle_width, slices, spread, table, texts
 from .quality import held_out
 
 ORDER = 3
 DECAY = 0.8
-#: Landmarks drawn from beginnings of words that mark toxic rows, and from common ones of other rows.
-MARKED, PLAIN = 40, 4
-CANDIDATES = 1500
+#: Kernels up to this count as none, those above in proportion.
+FLOOR = 0.3
+#: Landmarks, chosen among so many beginnings of words that mark toxic rows.
+LANDMARKS, CANDIDATES = 64, 1500
 #: Landmarks are words and beginnings of words, of so many characters.
 SHORTEST, LONGEST = 4, 12
 #: No two landmarks are this alike.
-ALIKE = 0.8
+ALIKE = 0.6
+#: What a row that has a landmark already counts for in the choice of the next one.
+COVERED = 0.7
+#: Neighbouring words of at most so many characters are also joined.
+JOINED = 4
+#: Words of a document to one sentence with a landmark, at which its density is one half.
+SPREAD = 50
 #: At most so many rows of either label are trained on.
 SAMPLE = 2000
 HELD_OUT_OF, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: Subsequences handled at once.
 BATCH = 100_000
+#: A longer word is compared in overlapping pieces of so many characters, so that no landmark is cut.
 PIECE = 32
 #: Words whose kernels a task holds; emptied when full.
 MAX_ENTRIES = 300_000
 
 #: Marks taken off the ends of words (fixed values: the marks of ASCII, then common ones of Latin scripts).
 _MARKS = string.punctuation + "¡¿«»‘’“”„…–—"
-_SPACED = re.compile(r"(?<!\S)\w(?:\s\w){3,}(?!\S)")
+_ENDS = re.compile(r"[.!?\n\u3002]+")
 
 
-def words_of(text: str) -> set[str]:
-    """Distinct lower-case words without marks at their ends; characters spelled one by one also count as their word.
+def sentences(text: str) -> list[list[str]]:
+    """Lower-case words by sentence: without marks at their ends, long ones in pieces, and joins of short neighbours.
 
-    A word of over PIECE characters counts as its overlapping pieces, so that each is compared whole.
+    A run of single characters counts as the word that it spells.
     """
-    low = text.lower()
-    words = low.split()
-    found = set(words)
-    if list(map(len, words)).count(1) > 3:
-        found |= {"".join(x.split()) for x in _SPACED.findall(low)}
-    out = {w.strip(_MARKS) for w in found}
-    for w in [w for w in out if len(w) > PIECE]:
-        out.remove(w)
-        out.update(w[i : i + PIECE] for i in range(0, len(w) - PIECE // 2, PIECE // 2))
+    out = []
+    for part in _ENDS.split(text.lower()):
+        words = [w for w in (x.strip(_MARKS) for x in part.split()) if w]
+        if not words:
+            continue
+        size = list(map(len, words))
+        found = words
+        if max(size) > PIECE:
+            found = [w for w in words if len(w) <= PIECE]
+            for w in words:
+                if len(w) > PIECE:
+                    found += [w[i : i + PIECE] for i in range(0, len(w) - PIECE // 2, PIECE // 2)]
+        joins = [a + b for a, b, m, n in zip(words, words[1:], size, size[1:]) if m <= JOINED and n <= JOINED]
+        if size.count(1) > 2:
+            spelled = "".join(w if n == 1 else " " for w, n in zip(words, size))
+            joins += [w[i : i + PIECE] for w in spelled.split() if len(w) > 2 for i in range(0, max(1, len(w) - PIECE // 2), PIECE // 2)]
+        out.append(found + joins if joins else found)
     return out
 
 
@@ -162,48 +181,59 @@ class Model:
 
 
 class Pool:
-    """For texts the kernels of their best and second best words with the landmarks."""
+    """The features of texts: for each landmark the best sentence's kernel, then the density of sentences."""
 
     def __init__(self, landmarks: list[str], max_entries: int = MAX_ENTRIES):
         self.landmarks, self.max_entries = Landmarks(landmarks), max_entries
-        self.place: dict[str, int] = {}
+        self.seen: set[str] = set()
+        self.place: dict[str, int] = {}  # of words with a kernel above FLOOR
         self.kernels = np.zeros((0, len(landmarks)), np.float32)
 
     def _fill(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.place]
-        if len(self.place) + len(new) > self.max_entries:
-            self.place.clear()
-            self.kernels = self.kernels[:0]
-            new = list(words)
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        self.kernels = np.concatenate([self.kernels, self.landmarks.kernels(new)])
+        new = words - self.seen
+        if len(self.seen) + len(new) > self.max_entries:
+            self.seen, self.place, self.kernels, new = set(), {}, self.kernels[:0], words
+        self.seen |= new
+        listed = list(new)
+        k = np.maximum(0, self.landmarks.kernels(listed) - FLOOR) / (1 - FLOOR)
+        near = np.flatnonzero(k.max(1) > 0) if k.size else np.zeros(0, np.int64)
+        self.place.update(zip([listed[i] for i in near.tolist()], range(len(self.place), len(self.place) + len(near))))
+        self.kernels = np.concatenate([self.kernels, k[near]])
 
     def __call__(self, rows: list[str]) -> np.ndarray:
-        each = [words_of(t) for t in rows]
-        self._fill(set().union(*each))
-        n = len(self.landmarks.words)
+        each = [sentences(t) for t in rows]
+        self._fill(set().union(*[w for doc in each for w in doc]))
+        n, place = len(self.landmarks.words), self.place
         out = np.zeros((len(rows), 2 * n), np.float32)
-        for i, ws in enumerate(each):
-            if ws:
-                k = self.kernels[[self.place[w] for w in ws]]
-                out[i, :n] = best = k.max(0)
-                k[k == best] = 0
-                out[i, n:] = k.max(0)
+        for i, doc in enumerate(each):
+            met = [x for x in ([place[w] for w in said if w in place] for said in doc) if x]
+            if met:
+                k = np.array([self.kernels[x].max(0) for x in met])
+                out[i, :n] = k.max(0)
+                out[i, n:] = np.minimum(1, k.sum(0) / (1 + len(rows[i].split()) / SPREAD))
         return out
 
 
-def pick(candidates: list[str], most: int, chosen: list[str]) -> list[str]:
-    """The first candidates no two of which are ALIKE, together with those chosen before."""
-    out = list(chosen)
-    for w in candidates:
-        if len(out) - len(chosen) >= most:
+def pick(candidates: list[tuple[str, float]], rows: list[list[int]], most: int = LANDMARKS) -> list[str]:
+    """Landmarks, no two of which are ALIKE: each has the most gain over rows (given as indices of candidates) that few of those before it cover."""
+    words = [w for w, _ in candidates]
+    gain = np.array([g for _, g in candidates])
+    has = np.zeros((len(rows), len(words)), np.float32)
+    for i, of in enumerate(rows):
+        has[i, of] = 1
+    weight, free, out = np.ones(len(rows)), np.ones(len(words), bool), []
+    while free.any() and len(out) < most:
+        value = np.where(free, weight @ has * gain, -1.0)
+        best = int(value.argmax())
+        if value[best] <= 0:
             break
-        if not out or Landmarks(out).kernels([w]).max() < ALIKE:
-            out.append(w)
+        out.append(words[best])
+        weight *= np.where(has[:, best] > 0, COVERED, 1.0)
+        free &= Landmarks([words[best]]).kernels(words)[:, 0] < ALIKE
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, landmarks: list[str], steps: int = 800, cost: float = 20.0) -> Model:
+def fit(x: np.ndarray, y: np.ndarray, landmarks: list[str], steps: int = 800, cost: float = 40.0) -> Model:
     """A linear SVM (squared hinge, classes weighed alike) on Nystroem features, then Platt scaling."""
     if not landmarks or not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.5
@@ -240,27 +270,37 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     mixed = F.xxhash64("doc_id", F.lit("toxicity"))
     ids = known.filter("toxic = 1").orderBy(mixed, "doc_id").limit(sample).unionByName(known.filter("toxic = 0").orderBy(mixed, "doc_id").limit(sample))
     # at most two samples of ids
-    rows = texts(docs).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    stage = Stage(docs.sparkSession, "toxicity")
+    rows = stage.save(texts(docs).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic").repartition(shuffle_width(docs.sparkSession)), "sample")
+
+    def beginnings(text: str) -> set[str]:
+        return {w[:k] for said in sentences(text) for w in set(said) for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
 
     def split(batches):
         for b in slices(batches, "text"):
-            yield {"toxic": b.column("toxic"), "words": [list({w[:k] for w in words_of(t or "") for k in range(SHORTEST, min(len(w), LONGEST) + 1)}) for t in b.column("text").to_pylist()]}
+            yield {"toxic": b.column("toxic"), "words": [list(beginnings(t or "")) for t in b.column("text").to_pylist()]}
 
-    said = map_arrow(rows.select("text", "toxic"), split, "toxic int, words array<string>")
-    sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    said = stage.save(map_arrow(rows, split, "toxic int, words array<string>"), "said")
+    sizes = {r.toxic: r.n for r in said.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
     seen = said.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
     share_p, share_n = (F.col("p") + 0.5) / pos, (F.col("n") + 0.5) / neg
-    marked = [r.word for r in seen.filter((F.col("p") >= 2) & (share_p > share_n)).orderBy((share_p * F.log(share_p / share_n)).desc(), F.length("word").desc(), "word").limit(CANDIDATES).collect()]
-    plain = [r.word for r in seen.filter(share_p <= share_n * 1.2).orderBy(F.col("n").desc(), "word").limit(CANDIDATES).collect()]
-    landmarks = pick(plain, PLAIN, pick(marked, MARKED, []))
+    listed = [(r.word, r.gain) for r in seen.filter((F.col("p") >= 3) & (share_p > share_n)).select("word", F.log(share_p / share_n).alias("gain"), "p").orderBy((F.col("p") * F.col("gain")).desc(), F.length("word").desc(), "word").limit(CANDIDATES).collect()]
+    place = {w: k for k, (w, _) in enumerate(listed)}
+
+    def cover(batches):
+        for b in batches:
+            yield {"of": [[place[w] for w in words if w in place] for words in b.column("words").to_pylist()]}
+
+    # one row for each toxic row of the sample
+    landmarks = pick(listed, [r.of for r in map_arrow(said.filter("toxic = 1"), cover, "of array<int>").collect()])
 
     def pool(batches):
         pooled = Pool(landmarks)
         for b in slices(batches, "text"):
             yield {"toxic": b.column("toxic"), "k": pooled([t or "" for t in b.column("text").to_pylist()]).tolist()}
 
-    got = map_arrow(rows.select("text", "toxic"), pool, "toxic int, k array<float>").toPandas()
+    got = map_arrow(rows, pool, "toxic int, k array<float>").toPandas()
     return fit(np.array(got["k"].tolist(), np.float64).reshape(len(got), 2 * len(landmarks)), got["toxic"].to_numpy().astype(int), landmarks)
 
 
@@ -268,7 +308,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """doc_id, held_out, score, predicted for each row of docs.
 
     A null text scores as an empty one. Repeated rows and ids each give their own row; a null id stays null and isn't
-    held out. Other columns are ignored, whatever their names. An empty table gives an empty table.
+    held out. Other columns are ignored, whatever their names. An empty table gives an empty table. Long texts are
+    scored whole. Equal texts tie.
     """
 
     def run(batches):
@@ -281,7 +322,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
