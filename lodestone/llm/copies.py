@@ -1,14 +1,15 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8, without misses.
-
-No distance of SimHash fingerprints is wide enough for all such texts, so candidates come from a prefix filter, which
-loses none: in any one order of all shingles, two sets that are this similar share one of the first n // 5 + 1 of
-their n shingles. Shingles that are common in a bounded sample come last in that order; this only keeps the buckets
-of texts with the same shingle small.
-
-Equal sets are one point. Of each bucket some points, the leaders, are compared with all others first, which joins a
-large group by as many pairs as it has points. What is then still apart is compared pair by pair, except among points
-of the bucket's largest component. Pairs that the parities of their sets' hashes show to differ too much are left out
-(parities never show more differences than there are); the others are compared as whole sets.
+"""SimHash near-dedup without misses: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+
+Fingerprints of these sets are linked over vantage-point trees as in neardup; linked texts are held against each other
+by their whole sets. That joins most copies. No distance of fingerprints that trees can prune is wide enough for all
+texts of this similarity, so a prefix filter, which loses none, completes it: in any one order of all shingles, two sets
+that are this similar share one of the first n // 5 + 1 of their n shingles. Shingles that are common in a bounded
+sample come last in that order; this only keeps the buckets of texts with the same shingle small.
+
+Equal sets are one point. Of each bucket with points still apart one, the leader, is compared with all others first,
+which joins a large group by as many pairs as it has points. What is then still apart is compared pair by pair, except
+among points of the bucket's largest component. Pairs that the parities of their sets' hashes show to differ too much
+are left out (parities never show more differences than there are); the others are compared as whole sets.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stage, map_arrow, slices, texts
-from .neardup import components, shingles
+from .neardup import components, links, majority, shingles
 
 SHINGLE = 5
 #: Texts that common shingles are looked for in, about; how many of them have a common one; common ones listed at most.
 SAMPLE, COMMON, LISTED = 1 << 14, 4, 1 << 16
-#: Leaders of each bucket.
-LEADERS = 2
+#: Rounds in which each bucket has a leader.
+LEADERS = 1
+#: Bits in which linked fingerprints differ at most.
+LINK = 3
 #: Bits of the parities, 64 in each of so many numbers.
 WORDS = 8
 
@@ -87,7 +90,8 @@ def _similar(stage: Stage, name: str, pairs: DataFrame, points: DataFrame, docs:
     """Those of the pairs (a, b) of points whose sets have a similarity of at least 0.8."""
     x, y = (points.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}")) for c in "ab")
     bits = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(WORDS)), F.lit(0))
-    near = stage.save(pairs.join(x, "a").join(y, "b").filter(9 * bits <= F.col("n_a") + F.col("n_b")).select("a", "b"), f"near-{name}")
+    fits = _sizes_fit(F.col("n_a"), F.col("n_b")) & (9 * bits <= F.col("n_a") + F.col("n_b"))
+    near = stage.save(pairs.join(x, "a").join(y, "b").filter(fits).select("a", "b"), f"near-{name}")
     nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     wanted = stage.save(points.join(nodes, "node", "left_semi").select("node", *[F.col("first")[c].alias(f"_{c}") for c in KEY]), f"wanted-{name}")
     chosen = docs.join(wanted, [docs[c].eqNullSafe(wanted[f"_{c}"]) for c in KEY]).select("node", "text").dropDuplicates(["node"])
@@ -96,9 +100,21 @@ def _similar(stage: Stage, name: str, pairs: DataFrame, points: DataFrame, docs:
         for b in slices(batches, "text"):
             yield {"node": b.column("node"), "marks": [marks(t or "", size) for t in b.column("text").to_pylist()]}
 
-    sets = stage.save(map_arrow(chosen, run, "node binary, marks array<bigint>"), f"sets-{name}")
+    sets = stage.save(map_arrow(chosen, run, "node bigint, marks array<bigint>"), f"sets-{name}")
     both = near.join(sets.select(F.col("node").alias("a"), F.col("marks").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("marks").alias("y")), "b")
-    return stage.save(both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), f"similar-{name}")
+    found = stage.save(both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), f"similar-{name}")
+    for done in (f"near-{name}", f"wanted-{name}", f"sets-{name}"):
+        stage.drop(done)
+    return found
+
+
+def _linked(stage: Stage, points: DataFrame) -> DataFrame:
+    """Pairs (a, b) of points with equal or linked fingerprints: fewer than there are points."""
+    first = stage.save(points.groupBy("print").agg(F.min("node").alias("least")), "prints")
+    same = points.select("node", "print").join(first, "print").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    of_a, of_b = (first.select(F.col("print").alias(c), F.col("least").alias(f"least_{c}")) for c in "ab")
+    apart = links(stage, first.select("print"), LINK).join(of_a, "a").join(of_b, "b")
+    return same.unionByName(apart.select(*_pair(F.col("least_a"), F.col("least_b"))))
 
 
 def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -116,42 +132,47 @@ def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     def run(batches):
         for b in slices(batches, "text"):
             sets = [marks(t or "", size) for t in b.column("text").to_pylist()]
-            yield {**{c: b.column(c) for c in KEY}, "node": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "n": list(map(len, sets)), "parity": list(map(parity, sets)), "prefix": [prefix(s, listed, rank) for s in sets]}
+            yield {**{c: b.column(c) for c in KEY}, "set": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "n": list(map(len, sets)), "print": [majority(s) for s in sets], "parity": list(map(parity, sets)), "prefix": [prefix(s, listed, rank) for s in sets]}
 
-    rows = stage.save(map_arrow(docs, run, "doc_id bigint, hash_1 bigint, hash_2 bigint, node binary, n int, parity array<bigint>, prefix array<bigint>"), "rows")
+    rows = stage.save(map_arrow(docs, run, "doc_id bigint, hash_1 bigint, hash_2 bigint, set binary, n int, print bigint, parity array<bigint>, prefix array<bigint>"), "rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), *KEY)
-    # rows of a node have the same prefix and parity
-    points = stage.save(rows.groupBy("node").agg(F.min(F.struct(order.alias("first"), "n", "parity", "prefix")).alias("p"), F.count(F.lit(1)).alias("rows")).select("node", "p.first", "p.n", "p.parity", "p.prefix", "rows"), "points")
-    places = points.select("node", "n", F.explode("prefix").alias("mark"))
-    shared = stage.save(places.groupBy("mark").count().filter("count > 1").select("mark"), "shared")
-    placed = stage.save(places.join(shared, "mark"), "placed")
+    # rows of a set have the same prefix, parity and fingerprint
+    points = rows.groupBy("set").agg(F.min(F.struct(order.alias("first"), "n", "print", "parity", "prefix")).alias("p"), F.count(F.lit(1)).alias("rows"))
+    points = stage.save(points.select(F.monotonically_increasing_id().alias("node"), "set", "p.first", "p.n", "p.print", "p.parity", "p.prefix", "rows"), "points")
+    tried = stage.save(_linked(stage, points), "pairs-trees")
+    edges = _similar(stage, "trees", tried, points, docs, size)
 
     def rooted(turn: str) -> DataFrame:
-        found = components(Stage(spark, f"copies-{turn}"), edges)
-        return stage.save(placed.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), f"rooted-{turn}")
-
-    edges = tried = None
-    now = placed.withColumn("root", F.col("node"))
-    for turn in range(LEADERS):
-        lead = stage.save(now.groupBy("mark").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("_"), "node", "n", "root")).alias("lead")), f"lead-{turn}")
-        pairs = now.join(lead, "mark").filter((F.col("root") != F.col("lead.root")) & _sizes_fit(F.col("n"), F.col("lead.n"))).select(*_pair(F.col("node"), F.col("lead.node"))).distinct()
-        pairs = stage.save(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        more = _similar(stage, str(turn), pairs, points, docs, size)
-        edges = more if edges is None else edges.unionByName(more)
-        now = rooted(str(turn))
-    parts = now.groupBy("mark", "root").count().groupBy("mark").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-    apart = stage.save(now.join(stage.save(parts.filter("roots > 1").select("mark", "main"), "parts"), "mark"), "apart")
+        return components(Stage(spark, f"copies-{turn}"), edges)
+
+    def several(placed: DataFrame, turn: str) -> DataFrame:
+        """The rows of those marks whose points are in several components."""
+        open_ = placed.groupBy("mark").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("mark")
+        return stage.save(placed.join(stage.save(open_, f"open-{turn}"), "mark", "left_semi"), f"placed-{turn}")
+
+    roots = rooted("trees")
+    placed = points.select("node", "n", "prefix").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.explode("prefix").alias("mark"))
+    placed = several(placed, "trees")
+    for turn in map(str, range(LEADERS)):
+        lead = stage.save(placed.groupBy("mark").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("_"), "node", "n", "root")).alias("lead")), f"lead-{turn}")
+        pairs = placed.join(lead, "mark").filter((F.col("root") != F.col("lead.root")) & _sizes_fit(F.col("n"), F.col("lead.n"))).select(*_pair(F.col("node"), F.col("lead.node"))).distinct()
+        pairs = stage.save(pairs.join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
+        tried = tried.unionByName(pairs)
+        edges = edges.unionByName(_similar(stage, turn, pairs, points, docs, size))
+        roots = rooted(turn)
+        placed = several(placed.drop("root").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), "mark"), turn)
+    main = stage.save(placed.groupBy("mark", "root").count().groupBy("mark").agg(F.max_by("root", F.struct("count", "root")).alias("main")), "main")
+    apart = stage.save(placed.join(main, "mark"), "apart")
     x, y = apart.filter(F.col("root") != F.col("main")).alias("x"), apart.alias("y")
     rest = x.join(y, (F.col("x.mark") == F.col("y.mark")) & (F.col("x.root") != F.col("y.root")) & _sizes_fit(F.col("x.n"), F.col("y.n")))
     rest = stage.save(rest.select(*_pair(F.col("x.node"), F.col("y.node"))).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     edges = edges.unionByName(_similar(stage, "rest", rest, points, docs, size))
-    found = components(Stage(spark, "copies-last"), edges)
+    found = rooted("last")
 
-    kept = points.select("node", "first", "rows").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = points.select("node", "set", "first", "rows").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = kept.groupBy("root").agg(F.min("first").alias("keep"), F.sum("rows").alias("all")).filter("all > 1")
-    kept = stage.save(kept.join(least, "root").select("node", "keep"), "kept")
-    return stage.save(rows.select(*KEY, "node").join(kept, "node").select(*KEY, "keep"), "groups")
+    kept = stage.save(kept.join(least, "root").select("set", "keep"), "kept")
+    return stage.save(rows.select(*KEY, "set").join(kept, "set").select(*KEY, "keep"), "groups")
 
 
 def distinct(docs: DataFrame, size: int = SHINGLE) -> DataFrame:

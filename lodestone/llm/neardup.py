@@ -60,11 +60,16 @@ def fingerprint(text: str, size: int = SHINGLE, seed: int = SEED) -> int:
     if not found:
         return 0
     hashes = b"".join(map(partial(xxhash.xxh64_digest, seed=seed), found))
-    total, n = np.zeros(64, np.int64), len(found)
-    raw = np.frombuffer(hashes, np.uint8).reshape(n, 8)
+    return majority(np.frombuffer(hashes, ">u8")) % (1 << 64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits, as a signed number, that are set in over half of some 64-bit numbers; 0 for none."""
+    total, n = np.zeros(64, np.int64), len(hashes)
+    raw = hashes.astype(">u8" if hashes.dtype.kind == "u" else ">i8", copy=False).view(np.uint8).reshape(n, 8)
     for i in range(0, n, 1 << 16):
         total += np.unpackbits(raw[i : i + (1 << 16)], axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big", signed=True)
 
 
 def _halves(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
