@@ -6,27 +6,33 @@ texts of this similarity, so a prefix filter, which loses none, completes it: in
 that are this similar share one of the first n // 5 + 1 of their n shingles. Shingles that are common in a bounded
 sample come last in that order; this only keeps the buckets of texts with the same shingle small.
 
-Equal sets are one point. Of each bucket with points still apart one, the leader, is compared with all others first,
-which joins a large group by as many pairs as it has points. What is then still apart is compared pair by pair, except
-among points of the bucket's largest component. Pairs that the parities of their sets' hashes show to differ too much
-are left out (parities never show more differences than there are); the others are compared as whole sets.
+Equal sets are one point. Points of a bucket are compared inside a task by size and by the parities of their sets' hashes
+(which never show more differences than there are); a crowded bucket is dealt to several tasks, and of buckets with the
+same points one is enough. A bucket gives a forest of candidates over the components of its points, not pairs: no more
+than it has points. Candidates are held against each other by their whole sets, and components grow by those that
+hold. After some such rounds, buckets give all candidates that are left between different components.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, map_arrow, slices, texts
+from .common import Stage, map_arrow, shuffle_width, slices, texts
 from .neardup import components, links, majority, shingles
 
 SHINGLE = 5
 #: Texts that common shingles are looked for in, about; how many of them have a common one; common ones listed at most.
 SAMPLE, COMMON, LISTED = 1 << 14, 4, 1 << 16
-#: Rounds in which each bucket has a leader.
-LEADERS = 1
+#: Rounds in which buckets give forests.
+FORESTS = 2
+#: A bucket with more points is dealt to several tasks.
+CROWD = 4096
+#: Pairs compared at once.
+BLOCK = 1 << 18
 #: Bits in which linked fingerprints differ at most.
 LINK = 3
 #: Bits of the parities, 64 in each of so many numbers.
@@ -113,10 +119,90 @@ def _linked(stage: Stage, points: DataFrame) -> DataFrame:
     first = stage.save(points.groupBy("print").agg(F.min("node").alias("least")), "prints")
     same = points.select("node", "print").join(first, "print").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     of_a, of_b = (first.select(F.col("print").alias(c), F.col("least").alias(f"least_{c}")) for c in "ab")
-    apart = links(stage, first.select("print"), LINK).join(of_a, "a").join(of_b, "b")
+    apart = links(Stage(points.sparkSession, "links"), first.select("print"), LINK).join(of_a, "a").join(of_b, "b")
     return same.unionByName(apart.select(*_pair(F.col("least_a"), F.col("least_b"))))
 
 
+def compared(node: np.ndarray, n: np.ndarray, root: np.ndarray, bits: np.ndarray, lives: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a bucket's points, at least one of which lives there, that may be similar and have different roots: all, or a forest over the roots."""
+    found, roots, bits = ([], []), np.unique(root, return_inverse=True)[1], bits.view(np.uint64)
+    label = np.arange(int(roots.max()) + 1)
+    home = np.flatnonzero(lives)
+    step = max(1, BLOCK // len(node))
+    for i in range(0, len(home), step):
+        part = home[i : i + step]
+        own = label[roots]
+        fits = own[part][:, None] != own[None, :]
+        fits &= (5 * n[part][:, None] >= 4 * n[None, :]) & (5 * n[None, :] >= 4 * n[part][:, None])
+        x, y = np.nonzero(fits)
+        x = part[x]
+        once = ~lives[y] | (node[x] < node[y])
+        x, y = x[once], y[once]
+        near = 9 * np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= n[x] + n[y]
+        x, y = x[near], y[near]
+        if not every and len(x):
+            low, high = np.minimum(own[x], own[y]), np.maximum(own[x], own[y])
+            first = np.unique(low * len(label) + high, return_index=True)[1]
+            chosen = []
+            for k in first.tolist():
+                a, b = int(low[k]), int(high[k])
+                while label[a] != a:
+                    a = int(label[a])
+                while label[b] != b:
+                    b = int(label[b])
+                if a != b:
+                    label[max(a, b)] = min(a, b)
+                    chosen.append(k)
+            while (label[label] != label).any():
+                label = label[label]
+            x, y = x[chosen], y[chosen]
+        found[0].append(np.minimum(node[x], node[y]))
+        found[1].append(np.maximum(node[x], node[y]))
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(found[0] or none), np.concatenate(found[1] or none)
+
+
+def _candidates(stage: Stage, name: str, placed: DataFrame, points: DataFrame, every: bool) -> DataFrame:
+    """Pairs (a, b), a below b, of points in the same bucket; see compared."""
+    crowds = stage.save(placed.groupBy("mark").count().filter(F.col("count") > CROWD).select("mark", F.ceil(F.col("count") / CROWD).cast("int").alias("parts")), f"crowds-{name}")
+    dealt = placed.join(points.select("node", "parity"), "node").join(crowds, "mark", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    home = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")
+    # a point lives in one part of its bucket and visits the parts after it
+    dealt = dealt.withColumn("part", F.explode(F.sequence(home, F.col("parts") - 1))).withColumn("lives", F.col("part") == home)
+    dealt = dealt.select("mark", "part", "node", "n", "root", "parity", "lives").repartition(shuffle_width(placed.sparkSession), "mark", "part").sortWithinPartitions("mark", "part")
+
+    def run(batches):
+        held = None
+
+        def pairs(rows: pa.Table):
+            mark, part, node, n, root, lives = (rows.column(c).to_numpy() for c in ("mark", "part", "node", "n", "root", "lives"))
+            bits = np.concatenate([c.flatten().to_numpy() for c in rows.column("parity").chunks]).reshape(-1, WORDS)
+            cut = np.flatnonzero(np.r_[True, (mark[1:] != mark[:-1]) | (part[1:] != part[:-1])])
+            ends = np.r_[cut[1:], len(mark)]
+            out = ([], [])
+            for i, j in zip(cut.tolist(), ends.tolist()):
+                if j - i > 1:
+                    for side, found in zip(out, compared(node[i:j], n[i:j].astype(np.int64), root[i:j], bits[i:j], lives[i:j], every)):
+                        side.append(found)
+            none = [np.zeros(0, np.int64)]
+            return {"a": np.concatenate(out[0] or none), "b": np.concatenate(out[1] or none)}
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            mark, part = rows.column("mark").to_numpy(), rows.column("part").to_numpy()
+            same = (mark == mark[-1]) & (part == part[-1])
+            last = len(mark) - int(same.sum())  # the last bucket can go on
+            if last:
+                yield pairs(rows.slice(0, last))
+            held = rows.slice(last)
+        if held is not None:
+            yield pairs(held)
+
+    return map_arrow(dealt, run, "a bigint, b bigint").distinct()
+
+
 def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """KEY, keep for each row of docs whose group has other rows: the least id of the group (null after all others) and its text's hashes.
 
@@ -153,21 +239,18 @@ def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     roots = rooted("trees")
     placed = points.select("node", "n", "prefix").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.explode("prefix").alias("mark"))
     placed = several(placed, "trees")
-    for turn in map(str, range(LEADERS)):
-        lead = stage.save(placed.groupBy("mark").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("_"), "node", "n", "root")).alias("lead")), f"lead-{turn}")
-        pairs = placed.join(lead, "mark").filter((F.col("root") != F.col("lead.root")) & _sizes_fit(F.col("n"), F.col("lead.n"))).select(*_pair(F.col("node"), F.col("lead.node"))).distinct()
-        pairs = stage.save(pairs.join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
-        tried = tried.unionByName(pairs)
-        edges = edges.unionByName(_similar(stage, turn, pairs, points, docs, size))
-        roots = rooted(turn)
-        placed = several(placed.drop("root").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), "mark"), turn)
-    main = stage.save(placed.groupBy("mark", "root").count().groupBy("mark").agg(F.max_by("root", F.struct("count", "root")).alias("main")), "main")
-    apart = stage.save(placed.join(main, "mark"), "apart")
-    x, y = apart.filter(F.col("root") != F.col("main")).alias("x"), apart.alias("y")
-    rest = x.join(y, (F.col("x.mark") == F.col("y.mark")) & (F.col("x.root") != F.col("y.root")) & _sizes_fit(F.col("x.n"), F.col("y.n")))
-    rest = stage.save(rest.select(*_pair(F.col("x.node"), F.col("y.node"))).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
-    edges = edges.unionByName(_similar(stage, "rest", rest, points, docs, size))
-    found = rooted("last")
+    shape = placed.groupBy("mark").agg(F.count(F.lit(1)).alias("points"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor"))
+    one = stage.save(shape.groupBy("points", "sum", "xor").agg(F.min("mark").alias("mark")).select("mark"), "buckets")
+    placed = stage.save(placed.join(one, "mark", "left_semi"), "placed")
+    for turn in range(FORESTS + 1):
+        name = f"bucket-{turn}"
+        pairs = stage.save(_candidates(stage, name, placed, points, turn == FORESTS).join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
+        edges = edges.unionByName(_similar(stage, name, pairs, points, docs, size))
+        roots = rooted(name)
+        if turn < FORESTS:
+            tried = tried.unionByName(pairs)
+            placed = several(placed.drop("root").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), "mark"), name)
+    found = roots
 
     kept = points.select("node", "set", "first", "rows").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = kept.groupBy("root").agg(F.min("first").alias("keep"), F.sum("rows").alias("all")).filter("all > 1")

@@ -83,3 +83,25 @@ def test_one_row_of_each_group_stays_where_ids_repeat(spark):
     left = [(r.doc_id, r.text) for r in corpus_pipeline.distinct(spark, frame(spark, rows), "").collect()]
     assert len(left) == 5 and {(2, b), (None, c), (3, d + " end")} <= set(left)
     assert sum(i == 1 and t.startswith(a) for i, t in left) == 1 and sum(i == 4 for i, _ in left) == 1
+
+
+def test_a_bucket_gives_a_forest_that_joins_what_all_pairs_join():
+    rnd = np.random.default_rng(5)
+    base = [np.unique(rnd.integers(-(2**62), 2**62, 200)) for _ in range(4)]
+    sets = [np.unique(np.r_[rnd.permutation(base[i % 4])[: rnd.integers(150, 200)], rnd.integers(0, 2**62, rnd.integers(0, 20))]) for i in range(300)]
+    node = rnd.permutation(300)
+    n, bits = np.array(list(map(len, sets))), np.array(list(map(copies.parity, sets)))
+    both = []
+    for every in (True, False):
+        pairs = set()
+        for part in range(2):  # a crowded bucket dealt to two tasks
+            lives, here = node % 2 == part, (node % 2 == part) | (part == 1)
+            a, b = copies.compared(node[here], n[here], node[here], bits[here], lives[here], every)
+            pairs |= set(zip(a.tolist(), b.tolist()))
+        label = list(range(300))
+        for x, y in pairs:
+            if label[x] != label[y]:
+                old, new = label[x], label[y]
+                label = [new if v == old else v for v in label]
+        both.append((len(pairs), {frozenset(i for i in range(300) if label[i] == v) for v in set(label)}))
+    assert both[0][1] == both[1][1] and both[1][0] < 600 < both[0][0]
