@@ -89,6 +89,12 @@ class FieldType:
             said = value.cast("string")
         return F.coalesce(said, F.lit("NULL"))
 
+    def parts(self, value: Column) -> dict[str, Column]:
+        """What a date or timestamp consists of, by name; months count from 0."""
+        if self.name not in ("DATE", "TIMESTAMP"):
+            raise ValueError(f"{self.name} has no year, month and day")
+        return {"year": F.year(value), "month": F.month(value) - 1, "day": F.dayofmonth(value)}
+
     def key(self, value: Column) -> Column:
         """What values are compared and sorted by: the instant for times, no trailing blanks for CHAR."""
         if self.name == "TIME":

@@ -6,11 +6,14 @@ Nothing is materialised between operators unless asked for: a result is a lazily
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from . import relational
 
@@ -77,6 +80,54 @@ class CountTuples(Bulk):
         return self.inputs[0].frame(spark).agg(F.count(F.lit(1)).cast("int").alias("count"))
 
 
+class Job(Bulk):
+    """A job of the user over the rows of its inputs.
+
+    `map` gives (key, value) pairs of a row (a dict; of several inputs it has `_source`, the input's name), `combine`
+    makes one value of a key's values, and `reduce` gives the output rows of a key and its combined value. combine must
+    not depend on order or grouping: it runs in the mapping tasks first, over at most `held` keys at a time, and again
+    where the parts of a key meet, so a frequent key comes as one value of each task. Null keys are a key.
+    """
+
+    def __init__(self, inputs: Sequence[Bulk], map: Callable, combine: Callable, reduce: Callable, key: str, value: str, output: str, held: int = 100_000):  # noqa: A002
+        super().__init__(tuple(inputs))
+        self.map, self.combine, self.reduce, self.held = map, combine, reduce, held
+        self.pair, self.output = f"key {key}, value {value}", output
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        map_, combine, reduce_, held = self.map, self.combine, self.reduce, self.held
+        pair, output = (to_arrow_schema(_parse_datatype_string(s)) for s in (self.pair, self.output))
+
+        def rows(found, schema):
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in found], schema=schema)
+
+        def mapped(source):
+            def run(batches):
+                parts = {}
+                for b in batches:
+                    for row in b.to_pylist():
+                        for k, v in map_({**row, "_source": source}):
+                            parts[k] = combine([parts[k], v]) if k in parts else combine([v])
+                        if len(parts) > held:
+                            yield rows(parts.items(), pair)
+                            parts = {}
+                if parts:
+                    yield rows(parts.items(), pair)
+
+            return run
+
+        def merged(table):
+            values = table.column("value").to_pylist()
+            key = table.column("key")[0].as_py()
+            return pa.Table.from_batches([rows(reduce_(key, combine(values)), output)], schema=output)
+
+        pairs = [i.frame(spark).mapInArrow(mapped(i.name), self.pair) for i in self.inputs]
+        both = pairs[0]
+        for p in pairs[1:]:
+            both = both.unionByName(p)
+        return both.groupBy("key").applyInArrow(merged, self.output)
+
+
 class Scan(Bulk):
     def __init__(self, child: Bulk, predicate):
         super().__init__((child,))

@@ -6,6 +6,7 @@ A null operand never qualifies, as in SQL. Columns are named, or given by positi
 from __future__ import annotations
 
 import operator
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -91,10 +92,10 @@ class _Many:
         self.parts = parts
 
     def __eq__(self, other: object) -> bool:
-        return type(self) is type(other) and len(self.parts) == len(other.parts) and all(p in other.parts for p in self.parts)
+        return type(self) is type(other) and Counter(self.parts) == Counter(other.parts)
 
     def __hash__(self) -> int:
-        return hash((type(self), frozenset(self.parts)))
+        return hash((type(self), frozenset(Counter(self.parts).items())))
 
     def __repr__(self) -> str:
         return f"{type(self).__name__}{self.parts}"

@@ -64,6 +64,13 @@ def index_lookup(table: DataFrame, key: str, value=None, span: Between | None =
     return rows.filter(span.compile() if span is not None else F.col(key) == F.lit(value)).select("rid")
 
 
+def index_fetch(table: DataFrame, key: str, value=None, span: Between | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """A lookup and the fetch of its rows in one: a single scan, whose filter and columns reach the files."""
+    rows = table.filter(span.compile() if span is not None else F.col(key) == F.lit(value))
+    names = list(columns or table.columns)
+    return rows.select([F.col(n).alias(u) for n, u in zip(names, _unique(names))])
+
+
 def index_join(outer: DataFrame, table: DataFrame, outer_key: str, key: str, residual: Column | None = None) -> DataFrame:
     """For each outer row the table's rows with its key: what an index probe for each row would give, as one equi join."""
     joined = outer.join(table, outer[outer_key] == table[key])

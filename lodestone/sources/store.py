@@ -1,12 +1,16 @@
 """Tables on a file system, with a catalogue of keys, and changes to them by copy on write.
 
-A table is a folder of versions; its highest committed version is the table. Inserts add files to a version; deletes and
-updates write the next version and drop the old one after that, so a reader or a failed job never meets half a change.
+A table is a folder of parts (folders of files) and of versions, each a list of parts; the highest version is the table.
+Inserts write a part and a version that has it besides the old ones, so their cost is that of the new rows; deletes and
+updates write one part that replaces all. A version appears whole, by a rename, and parts go only when none of the last
+KEEP versions has them: a failed job leaves the table as it was, and a reader keeps what it began with.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
@@ -16,6 +20,9 @@ from pyspark.sql.types import StructType
 
 from ..operators.relational import assert_unique, clustered
 
+#: Versions whose parts stay for readers that began with them.
+KEEP = 4
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -63,11 +70,7 @@ class Store:
         fs, path = self._path(table.lower(), "table.json")
         if not fs.exists(path):
             raise KeyError(f"no table {table}")
-        stream = fs.open(path)
-        try:
-            return Entry(**json.loads(bytes(stream.readAllBytes()).decode()))
-        finally:
-            stream.close()
+        return Entry(**json.loads(self._text(table.lower(), "table.json")))
 
     def _write_entry(self, table: str, entry: Entry) -> None:
         fs, path = self._path(table.lower(), "table.json")
@@ -110,36 +113,68 @@ class Store:
         fs, path = self._path(table.lower())
         if not fs.exists(path):
             raise KeyError(f"no table {table}")
-        names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
-        done = [int(n[1:]) for n in names if n.startswith("v") and fs.exists(self._path(table.lower(), n, "_SUCCESS")[1])]
-        return sorted(done)
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"v(\d+)\.json", n)))
 
-    def _replace(self, table: str, rows: DataFrame) -> None:
+    def _parts(self, table: str, version: int) -> list[str]:
+        return json.loads(self._text(table.lower(), f"v{version}.json"))
+
+    def _text(self, *where: str) -> str:
+        fs, path = self._path(*where)
+        stream = fs.open(path)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _commit(self, table: str, rows: DataFrame, keep: bool) -> None:
+        """The next version: a new part with the rows, beside the parts so far or in their place."""
         old = self._versions(table)
-        new = (old[-1] if old else 0) + 1
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{table.lower()}/v{new}")
-        for v in old:
-            fs, path = self._path(table.lower(), f"v{v}")
+        parts = self._parts(table, old[-1]) if old and keep else []
+        part = f"part-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.folder}/{table.lower()}/{part}")
+        fs, draft = self._path(table.lower(), f"{part}.json")
+        stream = fs.create(draft, True)
+        try:
+            stream.write(bytearray(json.dumps([*parts, part]).encode()))
+        finally:
+            stream.close()
+        if not fs.rename(draft, self._path(table.lower(), f"v{(old[-1] if old else 0) + 1}.json")[1]):
+            raise RuntimeError(f"{table} was changed by another writer")
+        self._forget(table)
+
+    def _forget(self, table: str) -> None:
+        versions = self._versions(table)
+        held = {p for v in versions[-KEEP:] for p in self._parts(table, v)}
+        gone = {p for v in versions[:-KEEP] for p in self._parts(table, v)} - held
+        for name in [*sorted(gone), *[f"v{v}.json" for v in versions[:-KEEP]]]:
+            fs, path = self._path(table.lower(), name)
             fs.delete(path, True)
 
+    def _replace(self, table: str, rows: DataFrame) -> None:
+        self._commit(table, rows, False)
+
     def _schema(self, table: str) -> StructType:
         return StructType.fromJson(json.loads(self.entry(table).schema))
 
     def table(self, table: str) -> DataFrame:
         schema, versions = self._schema(table), self._versions(table)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{table.lower()}/v{versions[-1]}")
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{table.lower()}/{p}" for p in self._parts(table, versions[-1])])
 
     # -- changes ------------------------------------------------------------------------------------------------------
 
     def insert(self, table: str, rows: DataFrame) -> None:
-        """Appends rows (by position), after a check of unique columns against the table and among themselves."""
+        """Appends rows (by position), after a check of unique columns among themselves and of the new keys against the table."""
         schema, entry = self._schema(table), self.entry(table)
         if len(rows.columns) != len(schema):
             raise ValueError(f"{table} has {len(schema)} columns, the rows have {len(rows.columns)}")
         typed = rows.select([F.col(c).cast(f.dataType).alias(f.name) for c, f in zip(rows.columns, schema)])
         for column in entry.unique:
-            assert_unique(self.table(table).select(column).unionByName(typed.select(column)), column)
-        typed.write.mode("append").parquet(f"{self.folder}/{table.lower()}/v{self._versions(table)[-1]}")
+            assert_unique(typed, column)
+            known = self.table(table).select(column).join(typed.select(column), column, "left_semi").limit(1).collect()
+            if known:
+                raise ValueError(f"duplicate key in unique column {column}: {known[0][0]}")
+        self._commit(table, typed, True)
 
     def insert_values(self, table: str, values: Sequence[Sequence]) -> None:
         schema = self._schema(table)

@@ -63,10 +63,20 @@ def scan_conjunction_unprojected(spark, d):
     return R.table_scan(read(spark, d, "lineitem"), ["l_partkey", "l_quantity"], preds)
 
 
-@_query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT l_orderkey * 1000003 + l_partkey) AS BIGINT) AS n_keys FROM lineitem")
+@_query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS n_rids, CAST(count(*) AS BIGINT) AS n_back FROM lineitem")
 def rid_scan_count(spark, d):
-    rows = R.scan_with_rid(read(spark, d, "lineitem"))
-    return rows.agg(F.count("rid").alias("n"), F.countDistinct(F.col("l_orderkey") * 1000003 + F.col("l_partkey")).alias("n_keys"))
+    """Row ids are distinct, and each leads back to the row that it came with."""
+    t = read(spark, d, "lineitem")
+    rows = R.scan_with_rid(t).select("rid", F.xxhash64(*t.columns).alias("said"))
+    back = R.scan_with_rid(t).select("rid", F.xxhash64(*t.columns).alias("found"))
+    told = rows.agg(F.count("rid").alias("n"), F.countDistinct("rid").alias("n_rids"))
+    return told.join(rows.join(back, "rid").filter("said = found").agg(F.count(F.lit(1)).alias("n_back")))
+
+
+@_query("SELECT o_orderkey, o_orderkey AS o_orderkey_2, o_totalprice FROM orders WHERE o_custkey BETWEEN 100 AND 110")
+def fetch_by_rid(spark, d):
+    t = read(spark, d, "orders")
+    return R.fetch(R.index_lookup(t, "o_custkey", span=Between("o_custkey", 100, 110)), t, ["o_orderkey", "o_orderkey", "o_totalprice"])
 
 
 # -- predicates ------------------------------------------------------------------------------------------------------
@@ -130,7 +140,7 @@ def filter_contradiction(spark, d):
 def _range(name: str, condition: str, span: Between) -> None:
     def run(spark, d):
         t = read(spark, d, "lineitem")
-        return R.fetch(R.index_lookup(t, "l_suppkey", span=span), t, ["l_orderkey", "l_suppkey", "l_quantity"])
+        return R.index_fetch(t, "l_suppkey", span=span, columns=["l_orderkey", "l_suppkey", "l_quantity"])
 
     run.__name__ = name
     _query(f"SELECT l_orderkey, l_suppkey, l_quantity FROM lineitem WHERE {condition}")(run)
@@ -148,16 +158,23 @@ _range("range_point", "l_suppkey = 7", Between("l_suppkey", 7, 7))
 @_query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = 127")
 def index_eq_lookup(spark, d):
     t = read(spark, d, "orders")
-    return R.fetch(R.index_lookup(t, "o_custkey", 127), t, ["o_orderkey", "o_custkey", "o_totalprice"])
+    return R.index_fetch(t, "o_custkey", 127, columns=["o_orderkey", "o_custkey", "o_totalprice"])
 
 
 @_query("SELECT l_suppkey, CAST(row_number() OVER (ORDER BY l_suppkey) AS BIGINT) AS place FROM lineitem WHERE l_suppkey BETWEEN 10 AND 20")
 def index_key_scan_dups(spark, d):
-    keys = R.index_scan(read(spark, d, "lineitem"), "l_suppkey", Between("l_suppkey", 10, 20))
-    # a place by key counts: no window over all rows
-    per = keys.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
-    start = per.select("l_suppkey", "n", (F.sum("n").over(Window.orderBy("l_suppkey")) - F.col("n")).alias("before"))
-    return start.select("l_suppkey", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"))).alias("place"))
+    return _placed(R.index_scan(read(spark, d, "lineitem"), "l_suppkey", Between("l_suppkey", 10, 20)))
+
+
+@_query("SELECT l_orderkey, l_suppkey FROM lineitem WHERE l_suppkey >= 23 AND l_suppkey < 43")
+def index_declared_lookup(spark, d):
+    """A lookup over a table that a declared index has laid out in sorted ranges."""
+    store = Store(spark, _scratch(spark, "store"))
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    store.create("lineitem", rows.schema)
+    store.insert("lineitem", rows)
+    store.create_index("lineitem", "lineitem_fk_supplier", "l_suppkey")
+    return R.index_fetch(store.table("lineitem"), "l_suppkey", span=Between("l_suppkey", 23, 43, True, False))
 
 
 @_query("SELECT CAST(count(l_suppkey) AS BIGINT) AS n FROM lineitem")
@@ -174,7 +191,7 @@ def index_corr_lookup(spark, d):
 @_query("SELECT o_totalprice, o_orderkey, o_totalprice AS o_totalprice_2 FROM orders WHERE o_custkey BETWEEN 100 AND 110")
 def fetch_projection(spark, d):
     t = read(spark, d, "orders")
-    return R.fetch(R.index_lookup(t, "o_custkey", span=Between("o_custkey", 100, 110)), t, ["o_totalprice", "o_orderkey", "o_totalprice"])
+    return R.index_fetch(t, "o_custkey", span=Between("o_custkey", 100, 110), columns=["o_totalprice", "o_orderkey", "o_totalprice"])
 
 
 # -- joins -------------------------------------------------------------------------------------------------------------
@@ -335,11 +352,9 @@ def having_alias(spark, d):
 # -- order -------------------------------------------------------------------------------------------------------------
 
 
-def _placed(rows: DataFrame, columns: list[str], ascending: list[bool]) -> DataFrame:
-    """Rows with their place in a total order, found range by range: no task holds all rows."""
-    cols = [F.col(c).asc_nulls_first() if a else F.col(c).desc_nulls_last() for c, a in zip(columns, ascending)]
-    dealt = rows.repartitionByRange(*cols)
-    marked = dealt.withColumn("_part", F.spark_partition_id()).sortWithinPartitions(*cols).withColumn("_id", F.monotonically_increasing_id())
+def _placed(rows: DataFrame) -> DataFrame:
+    """Sorted rows with their place, counted as they stand in the sort's partitions: no task holds all rows."""
+    marked = rows.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
     marked = marked.withColumn("_within", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
     stage = _scratch(rows.sparkSession, "placed")
     marked.drop("_id").write.parquet(stage)
@@ -368,25 +383,25 @@ def _scratch(spark: SparkSession, tag: str) -> str:
 @_query("SELECT c_custkey, c_nationkey, c_acctbal, CAST(row_number() OVER (ORDER BY c_nationkey DESC, c_acctbal ASC, c_custkey ASC) AS BIGINT) AS place FROM customer")
 def order_multi_mixed(spark, d):
     rows = read(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    return _placed(R.sort(rows, ["c_nationkey", "c_acctbal", "c_custkey"], [False, True, True]), ["c_nationkey", "c_acctbal", "c_custkey"], [False, True, True])
+    return _placed(R.sort(rows, ["c_nationkey", "c_acctbal", "c_custkey"], [False, True, True]))
 
 
 @_query("SELECT p_partkey, nullif(p_size, 10) AS size, CAST(row_number() OVER (ORDER BY nullif(p_size, 10) ASC NULLS FIRST, p_partkey ASC) AS BIGINT) AS place FROM part")
 def order_nulls_first(spark, d):
     rows = read(spark, d, "part").select("p_partkey", F.nullif(F.col("p_size"), F.lit(10)).alias("size"))
-    return _placed(rows, ["size", "p_partkey"], [True, True])
+    return _placed(R.sort(rows, ["size", "p_partkey"]))
 
 
 @_query("SELECT p_partkey, nullif(p_size, 10) AS size, CAST(row_number() OVER (ORDER BY nullif(p_size, 10) DESC NULLS LAST, p_partkey DESC) AS BIGINT) AS place FROM part")
 def order_nulls_last_desc(spark, d):
     rows = read(spark, d, "part").select("p_partkey", F.nullif(F.col("p_size"), F.lit(10)).alias("size"))
-    return _placed(rows, ["size", "p_partkey"], [False, False])
+    return _placed(R.sort(rows, ["size", "p_partkey"], [False, False]))
 
 
 @_query("SELECT s_suppkey, s_name, s_nationkey, CAST(row_number() OVER (ORDER BY s_nationkey DESC, s_name ASC, s_suppkey ASC) AS BIGINT) AS place FROM supplier")
 def sort_supplier(spark, d):
     rows = read(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    return _placed(rows, ["s_nationkey", "s_name", "s_suppkey"], [False, True, True])
+    return _placed(R.sort(rows, ["s_nationkey", "s_name", "s_suppkey"], [False, True, True]))
 
 
 @_query("SELECT l_orderkey, l_partkey, l_suppkey, l_quantity FROM lineitem ORDER BY l_partkey, l_quantity, l_orderkey")
@@ -420,9 +435,11 @@ def expr_div_towards_zero(spark, d):
     return read(spark, d, "supplier").select("s_suppkey", divide(F.col("s_suppkey") - 50, F.lit(7), FieldType("BIG_INT")).alias("cut"))
 
 
-@_query("SELECT CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1, 2")
+@_query("SELECT CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) - 1 AS BIGINT) AS m, CAST(day(o_orderdate) AS BIGINT) AS dd, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1, 2, 3")
 def expr_date_parts(spark, d):
-    return read(spark, d, "orders").groupBy(F.year("o_orderdate").cast("bigint").alias("y"), F.month("o_orderdate").cast("bigint").alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    day = FieldType("DATE")
+    parts = day.parts(F.col("o_orderdate").cast("date"))
+    return read(spark, d, "orders").groupBy(*[parts[k].cast("bigint").alias(a) for k, a in (("year", "y"), ("month", "m"), ("day", "dd"))]).agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CAST(o_orderkey AS VARCHAR) AS said FROM orders")
@@ -532,3 +549,20 @@ def dml_truncate(spark, d):
     store = _store(spark, d, "nation")
     store.truncate("nation")
     return store.table("nation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT l_returnflag AS flag, CAST(count(*) AS BIGINT) AS n, CAST(max(l_suppkey) AS BIGINT) AS last FROM lineitem WHERE l_quantity < 20 GROUP BY l_returnflag")
+def bulk_user_job(spark, d):
+    """A map, combine and reduce job of the user."""
+    view = f"lineitem_{uuid.uuid4().hex[:8]}"
+    read(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_suppkey").createOrReplaceTempView(view)
+    job = bulk.Job(
+        [bulk.TableInput(view)],
+        lambda row: [(row["l_returnflag"], {"n": 1, "last": row["l_suppkey"]})] if row["l_quantity"] < 20 else [],
+        lambda values: {"n": sum(v["n"] for v in values), "last": max(v["last"] for v in values)},
+        lambda key, value: [(key, value["n"], value["last"])],
+        key="string",
+        value="struct<n: bigint, last: bigint>",
+        output="flag string, n bigint, last bigint",
+    )
+    return job.frame(spark)

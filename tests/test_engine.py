@@ -1,12 +1,14 @@
+import io
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.fieldtypes import FieldType, divide, ingest
+from lodestone.operators import bulk, results
 from lodestone.operators import relational as R
 from lodestone.operators.predicates import OPERATORS, And, Atom, Between, JoinAnd, JoinAtom, JoinOr, Or, invert, switch_sides
-from lodestone.plans import dialect
+from lodestone.plans import dialect, explain
 from lodestone.plans.explain import operators
 from lodestone.sources.store import Store, read
 
@@ -227,3 +229,84 @@ def test_large_sort_is_ordered(spark):
 def test_layout_of_an_index(spark):
     parts = R.clustered(read(spark, SF, "lineitem").select("l_partkey"), "l_partkey", 4).withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b")).orderBy("p").collect()
     assert all(x.b < y.a for x, y in zip(parts, parts[1:]))
+
+
+def test_conjunctions_are_multisets():
+    a, b = Atom("x", "=", 1), Atom("y", "<", 2)
+    assert And(a, a) != And(a, b) and And(a, b, a) == And(a, a, b) and hash(And(a, b)) == hash(And(b, a))
+    assert Or(a, b) == Or(b, a) and Or(a, b) != And(a, b)
+
+
+def test_a_lookup_is_one_pruned_scan(spark):
+    found = R.index_fetch(read(spark, SF, "lineitem"), "l_suppkey", span=Between("l_suppkey", 3, 5), columns=["l_orderkey"])
+    said = explain.text(found)
+    assert said.count("Scan parquet") == 2 and "GreaterThanOrEqual(l_suppkey,3)" in said and "l_quantity" not in said  # in the tree and below it
+
+
+def test_readers_keep_the_version_they_began_with(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "db"))
+    store.create("t", spark.createDataFrame([], "id int").schema, unique=["id"])
+    store.insert_values("t", [(1,), (2,)])
+    before = store.table("t")
+    store.insert_values("t", [(3,)])
+    store.delete("t", F.col("id") < 3)
+    assert values(before) == [(1,), (2,)] and values(store.table("t")) == [(3,)]
+    with pytest.raises(ValueError, match="duplicate key in unique column id: 3"):
+        store.insert_values("t", [(4,), (3,)])
+    for i in range(10, 20):
+        store.insert_values("t", [(i,)])
+    store.truncate("t")
+    for i in range(5):
+        store.insert_values("t", [(i,)])
+    assert values(store.table("t")) == [(i,) for i in range(5)]
+    assert len(list((tmp_path / "db" / "t").glob("part-*"))) <= 6
+
+
+def test_results_are_printed_and_errors_handed_over(spark):
+    out = io.StringIO()
+    results.show(spark.createDataFrame([(1, "a"), (2, None)], "id int, name string").orderBy("id"), out)
+    lines = out.getvalue().splitlines()
+    assert lines[0].split() == ["id", "|", "name"] and lines[2].endswith("1 | a") and lines[3].endswith("2 | NULL") and lines[-1] == "2 rows returned."
+    seen = []
+
+    class Sink:
+        def open(self, schema):
+            seen.append(schema.names)
+
+        def add(self, row):
+            seen.append(row)
+
+        def close(self):
+            seen.append("closed")
+
+        def fail(self, error):
+            seen.append("failed")
+
+    results.deliver(spark.range(1).select(F.raise_error(F.lit("no")).alias("x")), Sink())
+    assert seen == [["x"], "failed"]
+
+
+def test_a_job_over_several_inputs(spark):
+    spark.createDataFrame([("a", 1), ("b", 2), (None, 5)], "k string, v int").createOrReplaceTempView("job_left")
+    spark.createDataFrame([("a", 10), (None, 7)], "k string, v int").createOrReplaceTempView("job_right")
+    job = bulk.Job([bulk.TableInput("job_left"), bulk.TableInput("job_right")], lambda r: [(r["k"], r["v"] if r["_source"] == "job_left" else -r["v"])], sum, lambda k, v: [(k, v)], "string", "bigint", "k string, v bigint", held=1)
+    assert values(job.frame(spark)) == values(spark.createDataFrame([("a", -9), ("b", 2), (None, -2)], "k string, v bigint"))
+
+
+def test_errors_have_a_code_and_what_was_expected():
+    for text, code in (("SELECT a AS a FRO t", "TOKEN"), ("SELECT a AS a FROM t ; x", "END"), ("SELECT # FROM t", "CHARACTER"), ("SELECT COUNT(a) AS n FROM t HAVING n > 1", "GROUPING")):
+        with pytest.raises(dialect.DialectError) as e:
+            dialect.parse(text)
+        assert e.value.code == code and e.value.position > 0, text
+
+
+def test_date_parts_count_months_from_0(spark):
+    parts = FieldType("DATE").parts(F.to_date(F.lit("2020-03-09")))
+    assert tuple(spark.range(1).select(*parts.values()).first()) == (2020, 2, 9)
+    with pytest.raises(ValueError):
+        FieldType("TIME").parts(F.lit(1))
+
+
+def test_having_is_a_filter_after_grouping(spark):
+    grouped = R.group_by(read(spark, SF, "nation"), ["n_regionkey"], [("COUNT", "n_nationkey", "n")])
+    assert values(R.having(grouped, Atom("n", ">", 4)).select("n")) == [(5,)] * 5
