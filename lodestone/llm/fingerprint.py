@@ -5,8 +5,8 @@ it has; each triplet is hashed into one of BUCKETS counters. The digest holds a
 bits per bucket: the quartile of the counts that the bucket's count lies in. Two digests differ by a bounded score.
 
 The next document in order of doc_id is found by one range partitioning on doc_id: in a sorted partition it is the next
-row. Only the last row of each partition has its next row elsewhere; these few (one for each partition) are looked up
-afterwards.
+row. Rows of one id are dealt further by a hash of their texts and by their place, so a frequent id is many tasks. Only
+the last row of each partition has its next row elsewhere; these few (one for each partition) are looked up afterwards.
 """
 
 from __future__ import annotations
@@ -85,20 +85,22 @@ def _row(text: str, mark: str, following: str, next_mark: str) -> tuple[str, str
     return hashlib.sha256(changed).hexdigest(), own, likeness(mark, own), likeness(mark, next_mark)
 
 
-_SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, part int, place bigint"
+_SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, mix bigint, part int, place bigint"
 
 
 def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs.
 
-    Null texts count as empty. Rows of equal doc_id follow each other in order of their texts (UTF-8 bytes); null ids
+    Null texts count as empty. Rows of equal doc_id follow each other in order of a hash of their texts; null ids
     come first; after the last row comes the first, so the only row of a table follows itself. Other columns are
     ignored, whatever their names. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "fingerprint")
-    rows = texts(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    ordered = rows.repartitionByRange(partitions or shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = texts(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("mix", F.xxhash64("text"))
+    # rows that are equal so far have equal results, whatever their places
+    placed = rows.withColumn("row", F.monotonically_increasing_id())
+    ordered = placed.repartitionByRange(partitions or shuffle_width(spark), "doc_id", "mix", "row").sortWithinPartitions("doc_id", "mix", "row").drop("row")
 
     def run(batches):
         from pyspark import TaskContext
@@ -111,11 +113,11 @@ def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
             out = dict(zip(("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"), map(list, cols)))
             places = list(range(place, place + len(ids)))
             place += len(ids)
-            return {"doc_id": ids, "part": [part] * len(ids), "place": places, **out}
+            return {"doc_id": [i for i, _ in ids], "mix": [m for _, m in ids], "part": [part] * len(ids), "place": places, **out}
 
         for b in slices(batches, "text"):
             ids, found = [], []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            for i, t in zip(zip(b.column("doc_id").to_pylist(), b.column("mix").to_pylist()), b.column("text").to_pylist()):
                 mark = held[2] if held and held[1] == t else digest(t.encode())
                 if held:
                     ids.append(held[0])
@@ -129,21 +131,20 @@ def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     out = stage.save(map_arrow(ordered, run, _SCHEMA), "rows")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     # one open row for each partition, and the first id of each: as many as there are partitions
-    ends = out.groupBy("part").agg(F.min("place"), F.max("place").alias("last"), F.min_by("doc_id", "place").alias("first_id"), F.max_by("doc_id", "place").alias("last_id")).orderBy("part").collect()
+    ends = out.groupBy("part").agg(F.min("place"), F.max("place").alias("last"), F.min_by(F.struct("doc_id", "mix"), "place").alias("first"), F.max_by(F.struct("doc_id", "mix"), "place").alias("end")).orderBy("part").collect()
     if not ends:
         return out.select(names)
-    follow = [(r.part, r.last, r.last_id, ends[(k + 1) % len(ends)].first_id) for k, r in enumerate(ends)]
-    pairs = spark.createDataFrame(follow, "part int, place bigint, last_id bigint, first_id bigint")
-    wanted = spark.createDataFrame([(i,) for i in sorted({x for f in follow for x in f[2:]}, key=lambda x: (x is not None, x))], "wanted bigint")
-    near = rows.join(F.broadcast(wanted), rows.doc_id.eqNullSafe(wanted.wanted), "left_semi")
-    # equal ids lie in one partition, so its last row is the greatest text of its id, its first row the least
-    least = near.groupBy("doc_id").agg(F.min("text").alias("least"), F.max("text").alias("greatest"))
-    left, right = least.alias("l"), least.alias("r")
+    follow = [(r.part, r.last, *r.end, *ends[(k + 1) % len(ends)].first) for k, r in enumerate(ends)]
+    pairs = spark.createDataFrame(follow, "part int, place bigint, last_id bigint, last_mix bigint, first_id bigint, first_mix bigint")
+    wanted = spark.createDataFrame(list({x for f in follow for x in (f[2:4], f[4:6])}), "wanted bigint, hash bigint")
+    near = rows.join(F.broadcast(wanted), rows.doc_id.eqNullSafe(wanted.wanted) & (rows.mix == wanted.hash), "left_semi")
+    said = near.groupBy("doc_id", "mix").agg(F.min("text").alias("text"))
+    left, right = said.alias("l"), said.alias("r")
     open_rows = (
-        pairs.join(left, F.col("l.doc_id").eqNullSafe(F.col("last_id")))
-        .select("part", "place", "first_id", F.col("l.greatest").alias("text"))
-        .join(right, F.col("r.doc_id").eqNullSafe(F.col("first_id")))
-        .select("part", "place", "text", F.col("r.least").alias("following"))
+        pairs.join(left, F.col("l.doc_id").eqNullSafe(F.col("last_id")) & (F.col("l.mix") == F.col("last_mix")))
+        .select("part", "place", "first_id", "first_mix", F.col("l.text").alias("own"))
+        .join(right, F.col("r.doc_id").eqNullSafe(F.col("first_id")) & (F.col("r.mix") == F.col("first_mix")))
+        .select("part", "place", F.col("own").alias("text"), F.col("r.text").alias("following"))
     )
 
     def close(batches):
