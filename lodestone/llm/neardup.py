@@ -11,10 +11,15 @@ compared exactly on all 64 bits. Trees are grown on a bounded sample of fingerpr
 Equal fingerprints are one point. A shard gives a forest of links (linear in its members), and components come from
 alternating large-star and small-star rounds over these links; no links, components or fingerprints of all documents
 reach the driver.
+
+The first trees have a bounded number of shards, whatever the number of fingerprints. A shard with too many residents
+gets a tree of its own, grown on a sample of them in one task, over which its rows are routed in many; and so on, until
+shards are small or a tree parts nothing any more.
 """
 
 from __future__ import annotations
 
+import pickle
 from functools import partial
 
 import numpy as np
@@ -110,10 +115,13 @@ class Tree:
         self.leaves += 1
         return ~(self.leaves - 1)
 
-    def route(self, half: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Index of the point, leaf, and whether it lives there (else it visits), for every place each point goes to."""
+    def route(self, half: np.ndarray, reach: int, lives: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the point, leaf, and whether it lives there (else it visits), for every place each point goes to.
+
+        Points that are visitors already stay so wherever they go.
+        """
         out = []
-        todo = [(self.root, np.arange(len(half)), np.ones(len(half), bool))]
+        todo = [(self.root, np.arange(len(half)), np.ones(len(half), bool) if lives is None else lives)]
         while todo:
             node, at, lives = todo.pop()
             if not len(at):
@@ -176,14 +184,54 @@ def forest(residents: np.ndarray, visitors: np.ndarray, side: int, link: int = L
     return points[linked], points[label[linked]]
 
 
-_PLACE = "tree int, leaf int, print bigint, lives boolean"
+_PLACE = "tree int, leaf bigint, print bigint, lives boolean"
+
+
+def deepened(stage: Stage, placed: DataFrame, turn: int, reach: int, crowd: int, shard: int) -> DataFrame | None:
+    """The places once shards with more than crowd residents are parted by trees of their own; None if there is none or nothing is parted."""
+    sizes = placed.filter("lives").groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd)
+    crowds = stage.save(sizes.withColumn("leaves", F.least(F.lit(SHARDS), F.ceil(F.col("n") / shard)).cast("int")).withColumn("parts", F.ceil(F.col("n") / crowd).cast("int")), f"crowds-{turn}")
+    if crowds.isEmpty():
+        return None
+    # about 8 residents for each leaf: at most 8 * SHARDS, whatever the shard's size
+    chosen = F.pmod(F.xxhash64("print", F.lit(11 + turn)), F.col("n")) < 8 * F.col("leaves")
+    sample = placed.filter("lives").join(crowds, ["tree", "leaf"]).filter(chosen).groupBy("tree", "leaf", "leaves", "parts").agg(F.collect_list("print").alias("prints"))
+
+    def grow(batches):
+        for b in batches:
+            trees = []
+            for side, leaves, prints in zip(*(b.column(c).to_pylist() for c in ("tree", "leaves", "prints"))):
+                points = np.sort(np.array(prints, np.int64).view(np.uint64))  # as the sample has no order
+                trees.append(pickle.dumps(Tree(_halves(points)[side], leaves)))
+            yield {"tree": b.column("tree"), "leaf": b.column("leaf"), "parts": b.column("parts"), "grown": trees}
+
+    grown = stage.save(map_arrow(sample, grow, "tree int, leaf bigint, parts int, grown binary"), f"grown-{turn}")
+    rows = placed.join(crowds.select("tree", "leaf", "parts"), ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("print", F.lit(3)), F.col("parts")).cast("int"))
+    each = grown.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def route(key, pdf, trees):
+        import pandas as pd
+
+        prints, lives = pdf["print"].to_numpy().view(np.uint64), pdf["lives"].to_numpy().astype(bool)
+        if not len(prints) or not len(trees):
+            return pd.DataFrame({"tree": pdf["tree"], "leaf": pdf["leaf"], "print": pdf["print"], "lives": pdf["lives"]})
+        tree = pickle.loads(trees["grown"].iloc[0])
+        at, leaf, stays = tree.route(_halves(prints)[int(key[0])], reach, lives)
+        return pd.DataFrame({"tree": np.full(len(at), key[0], np.int32), "leaf": int(key[1]) * SHARDS + SHARDS + leaf, "print": prints[at].view(np.int64), "lives": stays})
+
+    by = ["tree", "leaf", "part"]
+    parted = rows.groupBy(by).cogroup(each.groupBy(by)).applyInPandas(route, _PLACE)
+    now = stage.save(placed.join(crowds, ["tree", "leaf"], "left_anti").unionByName(parted), f"placed-{turn}")
+    before, after = crowds.count(), now.filter("lives").groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd)
+    told = after.agg(F.count(F.lit(1)), F.max("n")).first()
+    largest = crowds.agg(F.max("n")).first()[0]
+    return None if told[0] == before and told[1] == largest else now
 
 
-def links(stage: Stage, points: DataFrame, link: int = LINK) -> DataFrame:
+def links(stage: Stage, points: DataFrame, link: int = LINK, shard_size: int = SHARD, shards: int = SHARDS, crowd: int = CROWD) -> DataFrame:
     """a, b joining all points (column print) within `link` bits of each other."""
-    spark = points.sparkSession
     n = points.count()
-    leaves = max(1, min(SHARDS, 1 << max(0, (n // SHARD).bit_length())))
+    leaves = max(1, min(shards, 1 << max(0, (n // shard_size).bit_length())))
     # at most SAMPLE fingerprints, the same ones whenever it is asked again
     sample = np.array([r[0] for r in points.orderBy(F.xxhash64("print"), "print").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     trees = [Tree(h, leaves) for h in _halves(sample)]
@@ -195,12 +243,14 @@ def links(stage: Stage, points: DataFrame, link: int = LINK) -> DataFrame:
             for k, (tree, half) in enumerate(zip(trees, _halves(prints))):
                 at, leaf, lives = tree.route(half, reach)
                 if len(at):
-                    yield {"tree": np.full(len(at), k, np.int32), "leaf": leaf.astype(np.int32), "print": prints[at].view(np.int64), "lives": lives}
-
-    placed = stage.save(map_arrow(points, run, _PLACE), "placed")
-    # a shard's tasks: one row for each crowded shard, of which there are at most 2 * SHARDS
-    crowds = placed.filter("lives").groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("tree", "leaf", F.ceil(F.col("n") / CROWD).cast("int").alias("parts"))
-    dealt = placed.join(F.broadcast(crowds), ["tree", "leaf"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+                    yield {"tree": np.full(len(at), k, np.int32), "leaf": leaf.astype(np.int64), "print": prints[at].view(np.int64), "lives": lives}
+
+    placed, turn = stage.save(map_arrow(points, run, _PLACE), "placed"), 0
+    while (deeper := deepened(stage, placed, turn := turn + 1, reach, crowd, shard_size)) is not None:
+        placed = deeper
+    # shards that no tree parts (many equal halves) are dealt to several tasks; each has a crowd of residents at least
+    crowds = placed.filter("lives").groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("tree", "leaf", F.ceil(F.col("n") / crowd).cast("int").alias("parts"))
+    dealt = placed.join(stage.save(crowds, "crowds"), ["tree", "leaf"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     home = F.pmod(F.xxhash64("print", F.lit(7)), F.col("parts")).cast("int")
     # residents live in one part and visit the parts after it; visitors visit all
     dealt = dealt.withColumn("part", F.explode(F.sequence(F.when(F.col("lives"), home).otherwise(0), F.col("parts") - 1))).withColumn("lives", F.col("lives") & (F.col("part") == home))

@@ -286,3 +286,32 @@ def test_differencing_is_tight_and_gives_a_giant_its_own_shard():
     assert max(sums) - min(sums) <= 5
     big = sharding.difference([10**9, *weights], 40)
     assert big.count(big[0]) == 1
+
+
+def test_crowded_shards_are_parted_without_losing_a_pair(spark):
+    from lodestone.llm.common import Stage
+
+    rnd = np.random.default_rng(8)
+    base = rnd.integers(0, 2**63, 60, dtype=np.uint64)
+    flips = np.uint64(1) << rnd.integers(0, 64, (3, 900)).astype(np.uint64)
+    same_half = np.uint64(7) << np.uint64(32) | rnd.integers(0, 2**32, 200, dtype=np.uint64)  # no tree over this half parts them
+    points = np.unique(np.concatenate([base, np.bitwise_xor.reduce(flips, 0) ^ rnd.choice(base, 900), same_half]))
+    rows = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "print bigint").repartition(3)
+    found = neardup.links(Stage(spark, "test"), rows, shard_size=16, shards=4, crowd=40).collect()
+    label = {int(p): int(p) for p in points.view(np.int64)}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for r in found:
+        label[max(root(r.a), root(r.b))] = min(root(r.a), root(r.b))
+    want = {int(p): int(p) for p in points.view(np.int64)}
+    for a, b in combinations(points.tolist(), 2):
+        if (a ^ b).bit_count() <= 3:
+            x, y = (int(np.uint64(v).view(np.int64)) for v in (a, b))
+            old, new = max(want[x], want[y]), min(want[x], want[y])
+            if old != new:
+                want = {k: new if v == old else v for k, v in want.items()}
+    assert {k: root(k) for k in label} == want
