@@ -58,31 +58,36 @@ class RunIndex:
         return np.argsort(key, kind="stable")
 
     def _sorted(self, n: int) -> np.ndarray:
-        """The suffix array, by doubling; a suffix whose first h bytes reach its piece's end is told apart at once."""
+        """The suffix array, by doubling; a suffix whose first h bytes reach its piece's end is told apart at once.
+
+        Only groups of several suffixes with the same first h bytes are looked at again.
+        """
         padded = np.concatenate([self.symbol, np.zeros(3, np.int64)])
         key = padded[:n] << 27 | padded[1 : n + 1] << 18 | padded[2 : n + 2] << 9 | padded[3 : n + 3]
         order = self._argsort(key, 36)
-        head = np.r_[True, (key[order[1:]] != key[order[:-1]]) | (self.left[order[1:]] < 4) | (self.left[order[:-1]] < 4)]
-        rank = np.empty(n, np.int64)  # where the group of equal prefixes begins in the order
-        rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+        key, short = key[order], self.left[order] < 4
+        new = np.r_[True, (key[1:] != key[:-1]) | short[1:] | short[:-1]]
+        place = np.arange(n)  # in the order, of the suffixes that are looked at
+        first = np.maximum.accumulate(np.where(new, place, 0))  # where the group of each begins
+        rank = np.empty(n, np.int32)
+        rank[order] = first
         h = 4
         while True:
-            self.levels[h] = rank.astype(np.int32)
-            shared = np.bincount(rank, minlength=n) > 1
-            active = order[shared[rank[order]]]  # in order of rank
-            if not len(active):
+            self.levels[h] = rank.copy()
+            several = ~(new & np.r_[new[1:], True])
+            place, first = place[several], first[several]
+            if not len(place):
                 return order
-            place = np.flatnonzero(shared[rank[order]])
-            old = rank[active]
-            second = np.where(self.left[active] >= h, rank[np.minimum(active + h, n - 1)], 0)
-            group = np.cumsum(np.r_[True, old[1:] != old[:-1]]) - 1
+            active = order[place]
+            room = self.left[active]
+            second = np.where(room >= h, rank[np.minimum(active + h, n - 1)], 0)
+            group = np.cumsum(np.r_[False, first[1:] != first[:-1]])
             by = self._argsort(group * np.int64(n) + second, max(1, int(group[-1] * n + n).bit_length()))
-            active, old, second = active[by], old[by], second[by]
-            tail = self.left[active] < 2 * h
-            new = np.r_[True, (old[1:] != old[:-1]) | (second[1:] != second[:-1]) | tail[1:] | tail[:-1]]
+            active, second, tail = active[by], second[by], room[by] < 2 * h
+            new = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | tail[1:] | tail[:-1]]
             order[place] = active
-            rank = rank.copy()
-            rank[active] = np.maximum.accumulate(np.where(new, place, 0))
+            first = np.maximum.accumulate(np.where(new, place, 0))
+            rank[active] = first
             h *= 2
 
     def _runs(self, order: np.ndarray) -> None:
