@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: Bytes of text that a Python task handles at once.
 SLICE_BYTES = 8 << 20
@@ -101,9 +101,9 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, list]]], schema: str | StructType) -> DataFrame:
     """mapInArrow for functions that yield dicts of columns."""
-    kinds = _parse_datatype_string(schema)
+    kinds = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     assert isinstance(kinds, StructType)
     arrow = to_arrow_schema(kinds)
 
@@ -126,6 +126,13 @@ def rest(df: DataFrame, flag: Column) -> tuple[Column, str]:
     return F.struct(flag.alias(name), *[F.col(f"`{c.replace('`', '``')}`").alias(c) for c in others]).alias("row"), name
 
 
+def with_row(schema: str, row: StructField) -> StructType:
+    """A schema and the struct of rest."""
+    kinds = _parse_datatype_string(schema)
+    assert isinstance(kinds, StructType)
+    return kinds.add(row)
+
+
 def unpacked(df: DataFrame, schema: StructType, **own: Column) -> DataFrame:
     """The columns of schema in order and in their types: own ones as given, the others out of `row`."""
     return df.select(*[(own[f.name.lower()] if f.name.lower() in own else F.col("row").getField(f.name)).cast(f.dataType).alias(f.name) for f in schema])

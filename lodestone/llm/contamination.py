@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import passages
-from .common import Stage, map_arrow, rest, slices, spread, table, unpacked
+from .common import Stage, map_arrow, rest, slices, spread, table, unpacked, with_row
 
 WINDOW = 8
 #: A document with so many items is contaminated.
@@ -235,13 +235,13 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = size // block_bytes + 1
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), rest(docs, F.lit(True))[0], F.lit(0).cast("bigint").alias("n_words"), *[F.array().cast(f"array<{t}>").alias(c) for c, t in (("hit", "int"), ("items", "string"))])
-    kind = rows.schema["row"].dataType.simpleString()
+    kind = with_row("doc_id bigint, text string, n_words bigint, hit array<int>, items array<string>", rows.schema["row"])
     for block in range(blocks):
         if block and block % PASSES == 0:
             rows = stage.save(rows, f"rows-{block}")
         # about block_bytes of parts, each of a bounded size
         phrases = Phrases([(r.item, r.text) for r in items.filter(F.pmod(F.xxhash64("item", "part"), F.lit(blocks)) == block).collect()], window)
-        rows = map_arrow(rows, _pass(phrases), f"doc_id bigint, text string, row {kind}, n_words bigint, hit array<int>, items array<string>")
+        rows = map_arrow(rows, _pass(phrases), kind)
     return rows
 
 
@@ -315,7 +315,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, items: in
     A passage goes from its first word to its last. A row that loses all its words goes too.
     """
     got = find(docs, benchmark, window).filter(F.size("items") < items)
-    kind = got.schema["row"].dataType.simpleString()
+    kind = with_row("doc_id bigint, text string, lost boolean", got.schema["row"])
 
     def run(batches):
         for b in slices(batches, "text"):
@@ -334,7 +334,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, items: in
                 out.append(text)
             yield {"doc_id": b.column("doc_id"), "text": out, "row": b.column("row"), "lost": [bool(c) and t is None for c, t in zip(b.column("hit").to_pylist(), out)]}
 
-    got = map_arrow(got.select("doc_id", "text", "row", "hit"), run, f"doc_id bigint, text string, row {kind}, lost boolean").filter("not lost")
+    got = map_arrow(got.select("doc_id", "text", "row", "hit"), run, kind).filter("not lost")
     return unpacked(got, docs.schema, doc_id=F.col("doc_id"), text=F.col("text"))
 
 

@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import passages
-from .common import Stage, map_arrow, rest, slices, table, unpacked
+from .common import Stage, map_arrow, rest, slices, table, unpacked, with_row
 from .passages import SAME
 
 WINDOW = 20
 #: Words of the hashed grams that windows are anchored at.
 GRAM = 8
 #: Windows that a mask of a segment can hold.
-MASK = 63
+MASK = 62
 #: Bytes of text in a shard, and in an automaton.
 SHARD_BYTES = 8 << 20
 AUTOMATON_BYTES = 2 << 20
@@ -213,7 +213,7 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = p
     stage = Stage(docs.sparkSession, "phrases")
     rows = passages.dealt(stage, docs, F.xxhash64("doc_id", "text").alias("key"), row)
     joined = rows.join(marks(stage, rows, window, gram, hot), "rid", "left").select("doc_id", "text", "row", "marks")
-    kind = joined.schema["row"].dataType.simpleString()
+    kind = with_row("doc_id bigint, text string, kept string, n_words bigint, n_removed bigint", joined.schema["row"])
 
     def run(batches):
         for b in slices(batches, "text"):
@@ -226,7 +226,7 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = p
                 kept.append(b" ".join([w for w, d in zip(words, drop.tolist()) if not d] if gone[-1] else words).decode())
             yield {"doc_id": b.column("doc_id"), "text": b.column("text"), "row": b.column("row"), "kept": kept, "n_words": total, "n_removed": gone}
 
-    return map_arrow(joined, run, f"doc_id bigint, text string, row {kind}, kept string, n_words bigint, n_removed bigint")
+    return map_arrow(joined, run, kind)
 
 
 def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = passages.HOT) -> DataFrame:
