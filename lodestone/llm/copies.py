@@ -9,8 +9,8 @@ sample come last in that order; this only keeps the buckets of texts with the sa
 Equal sets are one point. Points of a bucket are compared inside a task by size and by the parities of their sets' hashes
 (which never show more differences than there are); a crowded bucket is dealt to several tasks, and of buckets with the
 same points one is enough. A bucket gives a forest of candidates over the components of its points, not pairs: no more
-than it has points. Candidates are held against each other by their whole sets, and components grow by those that
-hold. After some such rounds, buckets give all candidates that are left between different components.
+than it has points. Candidates are held against each other by wider parities, as wide as their sets are large, then by
+their whole sets, and components grow by those that hold. After some such rounds, buckets give all candidates that are left between different components.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ CROWD = 4096
 BLOCK = 1 << 18
 #: Bits in which linked fingerprints differ at most.
 LINK = 3
-#: Bits of the parities, 64 in each of so many numbers.
+#: Bits of the parities, 64 in each of so many numbers; wide ones have at least as many bits as their set has marks.
 WORDS = 8
 
 KEY = ["doc_id", "hash_1", "hash_2"]
@@ -57,12 +57,17 @@ def prefix(found: np.ndarray, listed: np.ndarray, rank: np.ndarray) -> np.ndarra
     return np.concatenate([found[~common], found[common][late]])[:most]
 
 
-def parity(found: np.ndarray) -> np.ndarray:
+def parity(found: np.ndarray, words: int = WORDS) -> np.ndarray:
     """Bits, each set if an odd number of marks fall on it: two sets differ in at least as many marks as their parities in bits."""
-    count = np.bincount((found.view(np.uint64) % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS)
+    count = np.bincount((found.view(np.uint64) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words)
     return np.packbits(count & 1).view(np.int64)
 
 
+def width(n: int) -> int:
+    """Numbers in the wide parity of a set of n marks: a power of two. Sizes that fit each other have at most one doubling between them."""
+    return max(WORDS, 1 << max(0, (n - 1) // 64).bit_length())
+
+
 def _key(docs: DataFrame) -> list[Column]:
     """KEY: the id and two hashes of the text tell rows apart, except for repeated ones."""
     text = docs["text"].cast("string")
@@ -92,11 +97,22 @@ def _sizes_fit(n: Column, m: Column) -> Column:
     return (5 * n >= 4 * m) & (5 * m >= 4 * n)
 
 
+def _differing(x: Column, y: Column) -> Column:
+    """Bits in which two wide parities differ, at the width of the narrower one: the halves of the wider one, added up, are its parity."""
+
+    def narrowed(bits: Column, other: Column) -> Column:
+        half = F.floor(F.size(bits) / 2).cast("int")
+        added = F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(bits) > F.size(other), added).otherwise(bits)
+
+    each = F.zip_with(narrowed(x, y), narrowed(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(each, F.lit(0), lambda total, n: total + n)
+
+
 def _similar(stage: Stage, name: str, pairs: DataFrame, points: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """Those of the pairs (a, b) of points whose sets have a similarity of at least 0.8."""
-    x, y = (points.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}")) for c in "ab")
-    bits = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(WORDS)), F.lit(0))
-    fits = _sizes_fit(F.col("n_a"), F.col("n_b")) & (9 * bits <= F.col("n_a") + F.col("n_b"))
+    x, y = (points.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")) for c in "ab")
+    fits = F.when(_sizes_fit(F.col("n_a"), F.col("n_b")), 9 * _differing(F.col("wide_a"), F.col("wide_b")) <= F.col("n_a") + F.col("n_b"))
     near = stage.save(pairs.join(x, "a").join(y, "b").filter(fits).select("a", "b"), f"near-{name}")
     nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     wanted = stage.save(points.join(nodes, "node", "left_semi").select("node", *[F.col("first")[c].alias(f"_{c}") for c in KEY]), f"wanted-{name}")
@@ -218,13 +234,13 @@ def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     def run(batches):
         for b in slices(batches, "text"):
             sets = [marks(t or "", size) for t in b.column("text").to_pylist()]
-            yield {**{c: b.column(c) for c in KEY}, "set": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "n": list(map(len, sets)), "print": [majority(s) for s in sets], "parity": list(map(parity, sets)), "prefix": [prefix(s, listed, rank) for s in sets]}
+            yield {**{c: b.column(c) for c in KEY}, "set": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "n": list(map(len, sets)), "print": [majority(s) for s in sets], "parity": list(map(parity, sets)), "wide": [parity(s, width(len(s))) for s in sets], "prefix": [prefix(s, listed, rank) for s in sets]}
 
-    rows = stage.save(map_arrow(docs, run, "doc_id bigint, hash_1 bigint, hash_2 bigint, set binary, n int, print bigint, parity array<bigint>, prefix array<bigint>"), "rows")
+    rows = stage.save(map_arrow(docs, run, "doc_id bigint, hash_1 bigint, hash_2 bigint, set binary, n int, print bigint, parity array<bigint>, wide array<bigint>, prefix array<bigint>"), "rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), *KEY)
     # rows of a set have the same prefix, parity and fingerprint
-    points = rows.groupBy("set").agg(F.min(F.struct(order.alias("first"), "n", "print", "parity", "prefix")).alias("p"), F.count(F.lit(1)).alias("rows"))
-    points = stage.save(points.select(F.monotonically_increasing_id().alias("node"), "set", "p.first", "p.n", "p.print", "p.parity", "p.prefix", "rows"), "points")
+    points = rows.groupBy("set").agg(F.min(F.struct(order.alias("first"), "n", "print", "parity", "wide", "prefix")).alias("p"), F.count(F.lit(1)).alias("rows"))
+    points = stage.save(points.select(F.monotonically_increasing_id().alias("node"), "set", "p.first", "p.n", "p.print", "p.parity", "p.wide", "p.prefix", "rows"), "points")
     tried = stage.save(_linked(stage, points), "pairs-trees")
     edges = _similar(stage, "trees", tried, points, docs, size)
 
