@@ -38,6 +38,9 @@ LINK = 3
 #: Bits of the parities, 64 in each of so many numbers; wide ones have at least as many bits as their set has marks.
 WORDS = 8
 
+#: Slots of hashes of wanted texts, told to all tasks: texts in none of them are not moved.
+SLOTS = 1 << 17
+
 KEY = ["doc_id", "hash_1", "hash_2"]
 
 
@@ -116,6 +119,10 @@ def _similar(stage: Stage, name: str, pairs: DataFrame, points: DataFrame, docs:
     near = stage.save(pairs.join(x, "a").join(y, "b").filter(fits).select("a", "b"), f"near-{name}")
     nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     wanted = stage.save(points.join(nodes, "node", "left_semi").select("node", *[F.col("first")[c].alias(f"_{c}") for c in KEY]), f"wanted-{name}")
+    slot = F.pmod("hash_1", F.lit(SLOTS)).cast("int")
+    slots = wanted.select(F.pmod("_hash_1", F.lit(SLOTS)).cast("int").alias("slot")).distinct()
+    # at most SLOTS numbers
+    docs = docs.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
     chosen = docs.join(wanted, [docs[c].eqNullSafe(wanted[f"_{c}"]) for c in KEY]).select("node", "text").dropDuplicates(["node"])
 
     def run(batches):
