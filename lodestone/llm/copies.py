@@ -247,7 +247,10 @@ def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), *KEY)
     # rows of a set have the same prefix, parity and fingerprint
     points = rows.groupBy("set").agg(F.min(F.struct(order.alias("first"), "n", "print", "parity", "wide", "prefix")).alias("p"), F.count(F.lit(1)).alias("rows"))
-    points = stage.save(points.select(F.monotonically_increasing_id().alias("node"), "set", "p.first", "p.n", "p.print", "p.parity", "p.wide", "p.prefix", "rows"), "points")
+    points = stage.save(points.select(F.monotonically_increasing_id().alias("node"), "set", "p.first", "p.n", "p.print", "p.parity", "p.wide", "p.prefix", "rows"), "whole-points")
+    prefixes, points = points.select("node", "n", "prefix"), stage.save(points.drop("prefix"), "points")
+    rows = stage.save(rows.select(*KEY, "set"), "sets")
+    stage.drop("rows")
     tried = stage.save(_linked(stage, points), "pairs-trees")
     edges = _similar(stage, "trees", tried, points, docs, size)
 
@@ -260,11 +263,13 @@ def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         return stage.save(placed.join(stage.save(open_, f"open-{turn}"), "mark", "left_semi"), f"placed-{turn}")
 
     roots = rooted("trees")
-    placed = points.select("node", "n", "prefix").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.explode("prefix").alias("mark"))
+    placed = prefixes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.explode("prefix").alias("mark"))
     placed = several(placed, "trees")
+    stage.drop("whole-points")
     shape = placed.groupBy("mark").agg(F.count(F.lit(1)).alias("points"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor"))
     one = stage.save(shape.groupBy("points", "sum", "xor").agg(F.min("mark").alias("mark")).select("mark"), "buckets")
     placed = stage.save(placed.join(one, "mark", "left_semi"), "placed")
+    stage.drop("placed-trees")
     for turn in range(FORESTS + 1):
         name = f"bucket-{turn}"
         pairs = stage.save(_candidates(stage, name, placed, points, turn == FORESTS).join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")

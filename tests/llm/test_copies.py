@@ -105,3 +105,20 @@ def test_a_bucket_gives_a_forest_that_joins_what_all_pairs_join():
                 label = [new if v == old else v for v in label]
         both.append((len(pairs), {frozenset(i for i in range(300) if label[i] == v) for v in set(label)}))
     assert both[0][1] == both[1][1] and both[1][0] < 600 < both[0][0]
+
+
+def test_wide_parities_never_differ_more_than_their_sets(spark):
+    rnd = np.random.default_rng(8)
+    rows = []
+    for n in (1, 3, 511, 512, 513, 600, 1000, 1024, 1025, 1100, 5000):
+        a = np.unique(rnd.integers(-(2**62), 2**62, n))
+        for kept in (1.0, 0.9, 0.5, 0.0):
+            b = np.unique(np.r_[a[: int(len(a) * kept)], rnd.integers(-(2**62), 2**62, max(1, int(n * (1 - kept) * rnd.uniform(0.8, 1.2))))])
+            if 5 * len(a) >= 4 * len(b) and 5 * len(b) >= 4 * len(a):
+                rows.append((len(rows), len(np.setxor1d(a, b)), len(a) + len(b), *(copies.parity(s, copies.width(len(s))).tolist() for s in (a, b))))
+    found = spark.createDataFrame(rows, "i int, apart int, sizes int, a array<bigint>, b array<bigint>")
+    bits = {r.i: (r.bits, r.back) for r in found.select("i", copies._differing(found.a, found.b).alias("bits"), copies._differing(found.b, found.a).alias("back")).collect()}
+    assert len({len(r[3]) for r in rows}) > 3 and any(len(r[3]) != len(r[4]) for r in rows)
+    for i, apart, sizes, *_ in rows:
+        assert bits[i][0] == bits[i][1] <= apart and (apart - bits[i][0]) % 2 == 0
+        assert sizes < 1000 or apart < sizes // 3 or 9 * bits[i][0] > sizes  # sets that share half or less are told apart
