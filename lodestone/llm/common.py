@@ -17,6 +17,7 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: Bytes of text that a Python task handles at once.
 SLICE_BYTES = 8 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _own_base: dict[str, str] = {}
 
@@ -101,6 +102,12 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of at most about SLICE_BYTES on their way to Python, unless the session has its own bound: 10,000 long rows are too many at once."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, f"{SLICE_BYTES}b")
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, list]]], schema: str | StructType) -> DataFrame:
     """mapInArrow for functions that yield dicts of columns."""
     kinds = _parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -114,6 +121,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
         finally:
             give_back()
 
+    bounded(df.sparkSession)
     return df.mapInArrow(run, kinds)
 
 

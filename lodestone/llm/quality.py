@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, spread, table, texts
+from .common import bounded, give_back, map_arrow, slices, spread, table, texts
 
 #: At most so many trusted positives and unlabelled rows are fitted on.
 POSITIVES, UNLABELLED = 6000, 12_000
@@ -146,10 +146,14 @@ def accept(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float =
     w = np.asarray(w, np.float64)
 
     def keep(batches):
-        for part in slices(batches, "text"):
-            x = np.stack([features(t or "") for t in part.column("text").to_pylist()])
-            yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30))) >= threshold))
-
+        try:
+            for part in slices(batches, "text"):
+                x = np.stack([features(t or "") for t in part.column("text").to_pylist()])
+                yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30))) >= threshold))
+        finally:
+            give_back()
+
+    bounded(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)
 
 

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from test_operators import empty, frame, got
 
-from lodestone.llm import contamination, phrases, pieces, quality, runindex, tokencount, toxicity
+from lodestone.llm import common, contamination, phrases, pieces, quality, runindex, tokencount, toxicity
 
 #: Two beginnings of equal size whose polynomial hashes modulo 2 ** 64 are equal, and what follows both.
 HEADS = ("aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "aaabaabbaaabbababbbabababbbbbbabbbbbaaababaabbaabaaaabbbbbaaaaaaabaaabbabaaaabbabb")
@@ -113,3 +113,16 @@ def test_held_out_quality(spark):
     assert np.mean([[(a > b) + (a == b) / 2 for b in bad] for a in good]) > 0.99
     assert sum(r.predicted for r, y in rows if y) >= 0.95 * len(good)
     print(sum(r.predicted for r, y in rows if not y), len(bad))
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    spark.conf.unset(common.BATCH_BYTES)
+    try:
+        rows = spark.range(40).selectExpr("id AS doc_id", "repeat('x', 1 << 20) AS text").coalesce(1)
+        sizes = [r.n for r in common.map_arrow(rows, lambda batches: ({"n": [b.num_rows]} for b in batches), "n int").collect()]
+        assert sum(sizes) == 40 and max(sizes) <= 10
+        spark.conf.set(common.BATCH_BYTES, "64m")
+        common.bounded(spark)
+        assert spark.conf.get(common.BATCH_BYTES) == "64m"  # the session's own bound stays
+    finally:
+        spark.conf.unset(common.BATCH_BYTES)
