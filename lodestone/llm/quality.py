@@ -98,11 +98,13 @@ def held_out(column="doc_id", of: int = HELD_OUT_OF, part: int = HELD_OUT):
 
 
 def feature_rows(docs: DataFrame, *more: str) -> DataFrame:
+    """x: the features' bytes, as the driver holds lists of numbers at several times their size; and other columns."""
+
     def run(batches):
         for b in slices(batches, "text"):
-            yield {"x": [features(t or "").tolist() for t in b.column("text").to_pylist()], **{c: b.column(c) for c in more}}
+            yield {"x": [features(t or "").tobytes() for t in b.column("text").to_pylist()], **{c: b.column(c) for c in more}}
 
-    return map_arrow(docs.select("text", *more), run, "x array<float>" + "".join(f", {c} int" for c in more))
+    return map_arrow(docs.select("text", *more), run, "x binary" + "".join(f", {c} int" for c in more))
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, float]:
@@ -117,9 +119,14 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     # at most positives + unlabelled ids
     rows = texts(docs).join(F.broadcast(trusted.unionByName(others)), "doc_id")
     got = feature_rows(rows.dropDuplicates(["doc_id", "side"]), "side").toPandas()
-    x = np.array(got["x"].tolist(), np.float64).reshape(len(got), N_FEATURES)
+    x = np.frombuffer(b"".join(got["x"]), np.float32).astype(np.float64).reshape(len(got), N_FEATURES)
     side = got["side"].to_numpy() if len(got) else np.zeros(0, int)
-    return fit(x[side == 1], x[side == 0], prior)
+    positive, mixture = x[side == 1], x[side == 0]
+    del got, x, rows
+    model = fit(positive, mixture, prior)
+    del positive, mixture
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD, *more: str) -> DataFrame:

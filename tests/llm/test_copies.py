@@ -122,3 +122,68 @@ def test_wide_parities_never_differ_more_than_their_sets(spark):
     for i, apart, sizes, *_ in rows:
         assert bits[i][0] == bits[i][1] <= apart and (apart - bits[i][0]) % 2 == 0
         assert sizes < 1000 or apart < sizes // 3 or 9 * bits[i][0] > sizes  # sets that share half or less are told apart
+
+
+def alike(seed=3, groups_=3, members=14, words=600):
+    """Groups of texts that share most words, any two too few to be similar by themselves, and some real copies among them."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=6))
+    out = []
+    for _ in range(groups_):
+        base = [word() for _ in range(words)]
+        for k in range(members):
+            own = list(base)
+            for at in range(6 + 6 * k, words - 6, 6 * members):
+                own[at] = word()
+            out.append(" ".join(own))
+            if k % 7 == 0:
+                out.append(" ".join([*own, word()]))
+    rnd.shuffle(out)
+    return [(i + 1, t) for i, t in enumerate(out)]
+
+
+def test_buckets_and_clusters_never_make_more_rows_than_they_get(spark, monkeypatch):
+    rows, told, plainly = alike(), [], copies.map_arrow
+
+    def counted(df, run, schema):
+        out = plainly(df, run, schema)
+        if schema == "a bigint, b bigint":
+            told.append((df.count(), out.count()))
+        return out
+
+    want = {rows[i][0]: min(rows[k][0] for k in g) for g in groups(rows) if len(g) > 1 for i in g}
+    assert 10 <= len(want) and len(set(want.values())) > 5
+    monkeypatch.setattr(copies, "map_arrow", counted)
+    assert {r.doc_id: r.keep.doc_id for r in copies.groups(frame(spark, rows)).collect()} == want
+    assert sum(made for _, made in told) and all(made <= got for got, made in told)
+
+
+def test_large_clusters_and_buckets_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(copies, "CROWD", 7)
+    monkeypatch.setattr(copies, "CLUSTER", 700)
+    rows = edited(11) + [(10_000 + i, t) for i, t in alike(5, 1)]
+    want = {rows[i][0]: min(rows[k][0] for k in g) for g in groups(rows) if len(g) > 1 for i in g}
+    assert {r.doc_id: r.keep.doc_id for r in copies.groups(frame(spark, rows)).collect()} == want
+
+
+def test_a_cluster_links_what_all_pairs_link():
+    rnd = np.random.default_rng(3)
+    base = [np.unique(rnd.integers(-(2**62), 2**62, 100)) for _ in range(5)]
+    sets = [np.unique(np.r_[rnd.permutation(base[i % 5])[: rnd.integers(82, 100)], rnd.integers(0, 2**62, rnd.integers(0, 9))]) for i in range(120)]
+    root = [i if i % 3 else i % 5 for i in range(120)]  # some are known to be joined
+    here = copies.Cluster(list(range(80)), root[:80], sets[:80])
+    found = here.links() + [p for i in range(80, 120) for p in here.visited(i, root[i], sets[i])]
+    rest = copies.Cluster(list(range(80, 120)), root[80:], sets[80:])
+    found += rest.links()
+    assert copies.Cluster([], [], []).links() == [] and copies.Cluster([], [], []).visited(1, 1, sets[0]) == []
+
+    def joined(pairs):
+        label = list(range(120))
+        for x, y in pairs:
+            old, new = label[x], label[y]
+            label = [new if v == old else v for v in label]
+        return {frozenset(i for i in range(120) if label[i] == v) for v in set(label)}
+
+    known = [(i, i % 5) for i in range(0, 120, 3)]
+    every = [(i, j) for i in range(120) for j in range(i) if 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))]
+    assert joined(found + known) == joined(every + known) and len(found) < 240 < len(every)
